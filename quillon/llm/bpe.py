@@ -30,7 +30,7 @@ SHORT_WORD = 48
 CACHE_WORDS = 150_000
 NO_RANK = np.int32(2**31 - 1)
 # The split pattern of the tokenizer's byte-level pre-tokenizer; white space as Unicode defines it.
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
