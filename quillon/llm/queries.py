@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe
+from quillon.llm import bpe, langid, media, quality
 
 
 def queries() -> dict:
-    found = {"op5_bpe": bpe.op5_bpe}
-    return found
+    return {
+        "op3_quality": quality.op3_quality,
+        "op4_langid": langid.op4_langid,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_media": media.op6_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
