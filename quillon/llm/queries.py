@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, media, quality
+from quillon.llm import bpe, langid, lm_scoring, media, quality
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op3_quality": quality.op3_quality,
         "op4_langid": langid.op4_langid,
         "op5_bpe": bpe.op5_bpe,
