@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, map_arrow, materialise, read_table, text_groups
+from quillon.llm.common import carried, held_out, map_arrow, materialise, read_table, text_groups
 
 SHORTLIST, SYMBOLS = 1536, 2048
 FREQUENT = 60_000
@@ -241,11 +241,16 @@ def fit(docs: DataFrame) -> Scorer:
 
 
 def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
-    """carry, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    """carry, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
+
+    A carried column that has the name of one of these is left out."""
+    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    carry = [c for c in carry if c not in new]
+    docs = docs.select(F.struct(*carry).alias("row"), "text")
     known, model = fitted.lexicon, fitted.model
     lex = known.value
     fields = "row_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, tail array<struct<token: binary, symbol: int, n: int>>"
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    kind = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, table = known.value, model_table(model.value)
@@ -274,7 +279,7 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
                 structs = pa.StructArray.from_arrays([pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.int32())], names=["token", "symbol", "n"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), structs)
                 columns = [
-                    *(rows.column(rows.schema.get_field_index(c)) for c in carry),
+                    *carried(rows, "row"),
                     pa.array(np.arange(row, row + len(texts))),
                     pa.array(lengths),
                     pa.array(np.add.reduceat(found, starts, dtype=np.int64)),
@@ -283,9 +288,9 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
                     lists,
                 ]
                 row += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names=[*carry, "row_id", "n_tokens", "n_known", "base_score", "score", "tail"])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "row_id", "n_tokens", "n_known", "base_score", "score", "tail"])
 
-    partial = materialise(map_arrow(docs, [*carry, "text"], run, f"{kinds}, {fields}"), "lm-partial")
+    partial = materialise(map_arrow(docs, ["row", "text"], run, f"row {kind}, {fields}"), "lm-partial")
     shares = F.array(*map(F.lit, lex.known_share().tolist()))
     unseen = F.array(*map(F.lit, np.log10(lex.unseen()).tolist()))
     tail = partial.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.*")
@@ -304,7 +309,7 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
     joined = partial.drop("tail").join(rest, "row_id", "left")
     more = lambda name: F.coalesce(name, F.lit(0))
     return joined.select(
-        *carry,
+        "row.*",
         "n_tokens",
         (F.col("n_known") + more("more_known")).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),

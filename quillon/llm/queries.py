@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, quality
+from quillon.llm import bpe, langid, lm_scoring, media, packing, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_langid": langid.op4_langid,
         "op5_bpe": bpe.op5_bpe,
         "op6_media": media.op6_media,
+        "op9_packing": packing.op9_packing,
     }
 
 
