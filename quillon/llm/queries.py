@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, packing, quality
+from quillon.llm import bpe, langid, lm_scoring, media, packing, quality, warc
 
 
 def queries() -> dict:
@@ -12,9 +12,12 @@ def queries() -> dict:
         "op4_langid": langid.op4_langid,
         "op5_bpe": bpe.op5_bpe,
         "op6_media": media.op6_media,
+        "op7_warc": warc.op7_warc,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_warc": warc.OP7_SQL,
+    }
