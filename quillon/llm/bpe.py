@@ -164,9 +164,11 @@ class RankBpe:
         """All ids in a row, and how many each text has."""
         pieces: list[list] = []
         words: set[str] = set()
+        marked = False
         for text in texts:
             if self.special and self.special.search(text):
                 found: list = []
+                marked = True
                 for part in self.special.split(text):
                     if part in self.added:
                         found.append(part)
@@ -179,8 +181,8 @@ class RankBpe:
                 words.update(found)
             pieces.append(found)
         known = self.learn(words)
-        if self.special:
-            known = known | {t: (i,) for t, i in self.added.items()} if any(t in p for p in pieces for t in self.added) else known
+        if marked:
+            known = known | {t: (i,) for t, i in self.added.items()}
         each = [list(chain.from_iterable(map(known.__getitem__, p))) for p in pieces]
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum())), lengths
@@ -228,7 +230,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 256):
                 rows = batch.slice(at, 256)
-                texts = [None if x is None else bpe.decode_ids(x) for x in rows.column(rows.schema.get_field_index(ids)).to_pylist()]
+                lists = rows.column(rows.schema.get_field_index(ids))
+                flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([len(x) if x.is_valid else 0 for x in lists]).tolist()
+                texts = [bpe.decode_ids(flat[a:b]) if x.is_valid else None for x, a, b in zip(lists, [0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, text])
 
     return df.select(*keep).mapInArrow(run, schema)
