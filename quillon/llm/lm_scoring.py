@@ -36,7 +36,7 @@ FREQUENT = 60_000
 #: A longer token is counted and scored like any other, but never held on all executors.
 FREQUENT_BYTES = 1024
 SUFFIX = 3
-WIDTH, NOISE, ROUNDS, RATE = 48, 25, 160, 0.05
+WIDTH, NOISE, ROUNDS, RATE = 48, 25, 120, 0.05
 #: Distinct tokens that a task counts before it passes the counts on.
 HELD = 200_000
 END = b""
@@ -180,6 +180,12 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: in
     A pair (h, w) is data n(h, w) times and noise `noise` * n(h) * q(w) times, q being the unigram distribution; the
     model tells them apart by score(h, w) - log(noise * q(w)).
     """
+    used = np.flatnonzero(counts.sum(axis=0) + counts.sum(axis=1))
+    if 0 < len(used) < len(counts):  # symbols that the corpus lacks keep a bias far below the others'
+        part = train(counts[np.ix_(used, used)], width, noise, rounds, rate)
+        whole = LogBilinear(np.zeros((len(counts), width), np.float32), np.zeros((len(counts), width), np.float32), np.full(len(counts), part.bias.min() - 5, np.float32))
+        whole.context[used], whole.target[used], whole.bias[used] = part.context, part.target, part.bias
+        return whole
     size = len(counts)
     of_context, of_symbol = counts.sum(axis=1), counts.sum(axis=0)
     q = ((of_symbol + 0.1) / (of_symbol.sum() + 0.1 * size)).astype(np.float32)

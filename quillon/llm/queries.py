@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, packing, quality, warc
+from quillon.llm import bpe, langid, lm_scoring, media, packing, pii, quality, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op6_media": media.op6_media,
         "op7_warc": warc.op7_warc,
+        "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
     }
 
