@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, packing, pii, quality, warc
+from quillon.llm import bpe, langid, lm_scoring, media, packing, pii, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_warc": warc.op7_warc,
         "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
