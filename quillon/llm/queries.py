@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, packing, pii, quality, secrets, warc
+from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_lm_scoring": lm_scoring.op1_lm_scoring,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_quality": quality.op3_quality,
         "op4_langid": langid.op4_langid,
         "op5_bpe": bpe.op5_bpe,
