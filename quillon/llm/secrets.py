@@ -36,6 +36,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = 16
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 ORDINARY_DIGITS, BAR = 0.25, 0.7
+MASK = "[SECRET]"
 
 
 def matches(text: Column, kind: int, form: str, group: int, possible: Column) -> Column:
@@ -46,17 +47,17 @@ def matches(text: Column, kind: int, form: str, group: int, possible: Column) ->
     return F.when(possible, F.struct(F.lit(kind).alias("kind"), all_of(0).alias("whole"), gaps.alias("gap"), all_of(group).alias("value")))
 
 
+def forms(text: Column) -> list[tuple[str, Column]]:
+    """The form of each kind, and a cheap condition that texts without a match mostly fail."""
+    small = F.lower(text)
+    named = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
+    return [(ASSIGN, named), (ACCESS, text.contains("AKIA")), (HEX, text.rlike(HEX)), (RUNS, text.rlike(RUNS))]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs: row (a struct) and text.  row, row_id, and the matches of each kind."""
     text = F.coalesce("text", F.lit(""))
-    small = F.lower(text)
-    named = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
-    found = [
-        matches(text, 0, ASSIGN, 2, named),
-        matches(text, 1, ACCESS, 0, text.contains("AKIA")),
-        matches(text, 2, HEX, 0, text.rlike(HEX)),
-        matches(text, 3, RUNS, 0, text.rlike(RUNS)),
-    ]
+    found = [matches(text, kind, form, 2 * (kind == 0), possible) for kind, (form, possible) in enumerate(forms(text))]
     return materialise(docs.select("row", F.monotonically_increasing_id().alias("row_id"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found")), "secrets-scan")
 
 
@@ -72,8 +73,8 @@ def spans(table: DataFrame) -> DataFrame:
     return each.select("row_id", "kind", (end - F.col("n")).alias("s"), end.alias("e"), "value").where(meets)
 
 
-def digits(value: Column) -> Column:
-    return F.char_length(value) - F.char_length(F.translate(value, "0123456789", ""))
+def digit_share(value: Column) -> Column:
+    return 1 - F.char_length(F.translate(value, "0123456789", "")) / F.char_length(value)
 
 
 def pairs(value: Column) -> Column:
@@ -110,20 +111,30 @@ def mean_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(terms), F.lit(1))
 
 
+def learn(all_spans: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Base spans by row_id, free runs (those that overlap no base span), and the log ratios learned from both."""
+    triple = F.struct("s", F.col("kind").alias("k"), "e")
+    base = all_spans.where("kind < 3").groupBy("row_id").agg(F.array_sort(F.collect_list(triple)).alias("base"))
+    runs = all_spans.where("kind = 3").join(base, "row_id", "left")
+    free = ~F.coalesce(F.exists("base", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s"))), F.lit(False))
+    runs = materialise(runs.where(free).select("row_id", "s", "kind", "e", "value", digit_share(F.col("value")).alias("share")), "secrets-runs")
+    labelled = all_spans.where("kind < 3").select("value", F.lit(True).alias("random")).unionByName(runs.where(F.col("share") < ORDINARY_DIGITS).select("value", F.lit(False).alias("random")))
+    return base, runs, ratios(labelled)
+
+
+def is_random(value: Column, table: list[float]) -> Column:
+    """A run with letters and digits that the models take for random."""
+    return (digit_share(value) > 0) & value.rlike("[A-Za-z]") & (mean_ratio(value, table) >= BAR)
+
+
 def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """carry, n_assign, n_access, n_hex, n_random, base and spans (arrays of struct<s, k, e>, sorted)."""
     new = ["n_assign", "n_access", "n_hex", "n_random", "base", "spans"]
     carry = [c for c in carry if c not in new]
     table = scan(docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text")))
-    all_spans = spans(table)
+    base, runs, learned = learn(spans(table))
     triple = F.struct("s", F.col("kind").alias("k"), "e")
-    base = all_spans.where("kind < 3").groupBy("row_id").agg(F.array_sort(F.collect_list(triple)).alias("base"))
-    runs = all_spans.where("kind = 3").join(base, "row_id", "left")
-    free = ~F.coalesce(F.exists("base", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s"))), F.lit(False))
-    runs = materialise(runs.where(free).select("row_id", "s", "kind", "e", "value", (digits(F.col("value")) / F.char_length("value")).alias("share")), "secrets-runs")
-    labelled = all_spans.where("kind < 3").select("value", F.lit(True).alias("random")).unionByName(runs.where(F.col("share") < ORDINARY_DIGITS).select("value", F.lit(False).alias("random")))
-    mixed = runs.where((F.col("share") > 0) & F.col("value").rlike("[A-Za-z]"))
-    fresh = mixed.where(mean_ratio(F.col("value"), ratios(labelled)) >= BAR).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
+    fresh = runs.where(is_random(F.col("value"), learned)).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
     joined = table.select("row", "row_id").join(base, "row_id", "left").join(fresh, "row_id", "left")
     none = F.array().cast("array<struct<s: int, k: int, e: int>>")
     joined = joined.select("row", F.coalesce("base", none).alias("base"), F.coalesce("fresh", none).alias("fresh"))
@@ -131,6 +142,28 @@ def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     return joined.select("row.*", *(count(k).alias(n) for k, n in enumerate(new[:3])), F.size("fresh").cast("long").alias("n_random"), "base", F.array_sort(F.concat("base", "fresh")).alias("spans"))
 
 
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, all columns, with MASK in place of every secret: the value of an assignment, or the whole span otherwise.
+
+    Forms are masked in the order of KINDS, each from the gaps and matches of what the ones before have left."""
+    _, _, learned = learn(spans(scan(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(text).alias("text")))))
+    value = F.col(text)
+    for kind, (form, possible) in enumerate(forms(F.coalesce(value, F.lit("")))):
+        whole, group = (F.regexp_extract_all(value, F.lit(form), F.lit(g)) for g in (0, 2 * (kind == 0)))
+        size = F.char_length
+        masked = [
+            lambda w, v: F.when(size(v) >= ASSIGN_LEAST, F.concat(F.left(w, size(w) - size(v)), F.lit(MASK))).otherwise(w),
+            lambda w, _: F.when(size(w) >= ACCESS_LEAST, F.lit(MASK)).otherwise(w),
+            lambda _, __: F.lit(MASK),
+            lambda w, _: F.when(is_random(w, learned), F.lit(MASK)).otherwise(w),
+        ][kind]
+        gaps, fills = F.split(value, form, -1), F.zip_with(whole, group, masked)
+        value = F.when(possible, F.array_join(F.flatten(F.zip_with(gaps, fills, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")).otherwise(value)
+        docs = docs.withColumn(text, value)
+        value = F.col(text)
+    return docs
+
+
 def spell(column: str) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"], x["e"])), ",")
