@@ -37,6 +37,8 @@ FREQUENT = 60_000
 FREQUENT_BYTES = 1024
 SUFFIX = 3
 WIDTH, NOISE, ROUNDS, RATE = 48, 25, 120, 0.05
+#: Weight of the squared vectors against the objective, which is a sum over tokens.
+RIDGE = 5.0
 #: Distinct tokens that a task counts before it passes the counts on.
 HELD = 200_000
 END = b""
@@ -174,7 +176,7 @@ class LogBilinear:
         return out
 
 
-def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: int = ROUNDS, rate: float = RATE) -> LogBilinear:
+def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE) -> LogBilinear:
     """Noise-contrastive estimation from a matrix of bigram counts (context, symbol), by Adam on the expected objective.
 
     A pair (h, w) is data n(h, w) times and noise `noise` * n(h) * q(w) times, q being the unigram distribution; the
@@ -182,7 +184,7 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: in
     """
     used = np.flatnonzero(counts.sum(axis=0) + counts.sum(axis=1))
     if 0 < len(used) < len(counts):  # symbols that the corpus lacks keep a bias far below the others'
-        part = train(counts[np.ix_(used, used)], width, noise, rounds, rate)
+        part = train(counts[np.ix_(used, used)], width, noise, rounds, rate, ridge)
         whole = LogBilinear(np.zeros((len(counts), width), np.float32), np.zeros((len(counts), width), np.float32), np.full(len(counts), part.bias.min() - 5, np.float32))
         whole.context[used], whole.target[used], whole.bias[used] = part.context, part.target, part.bias
         return whole
@@ -208,6 +210,8 @@ def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: in
             grads[0][rows] = pull @ target
             grads[1] += pull.T @ context[rows]
             grads[2] += pull.sum(axis=0)
+        grads[0] -= ridge * scale * context
+        grads[1] -= ridge * scale * target
         speed = rate * (1 - (step - 1) / rounds) + 1e-3
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
