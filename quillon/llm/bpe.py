@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from quillon.llm.common import read_table, text_groups
 
 SHORT_WORD = 48
-#: Distinct words of which a worker remembers the ids; two generations of this many at most.
-CACHE_WORDS = 150_000
+#: Distinct words, and distinct parts between spaces, of which a worker remembers the ids; twice as many at most.
+CACHE_WORDS, CACHE_CHUNKS = 120_000, 200_000
+#: Characters that are encoded at once: the more, the fewer distinct parts to look up.
+TOKENISE_CHARS = 4_000_000
 NO_RANK = np.int32(2**31 - 1)
 # The split pattern of the tokenizer's byte-level pre-tokenizer; white space as Unicode defines it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,22 +43,45 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+class Recent:
+    """A cache of two generations: when the young one is full it becomes the old one, and what is used moves back."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that aren't known; all others are in `young` until the next call."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                young[k] = v
+        return out
+
+
 class RankBpe:
-    def __init__(self, path: str):
+    """A BPE vocabulary over bytes; ids of a word or chunk are held as bytes (int32, little-endian)."""
+
+    def __init__(self, path: str, split: str = SPLIT):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         alphabet = byte_alphabet()
         to_byte = {c: b for b, c in enumerate(alphabet)}
         self.of_byte = np.array([vocab[c] for c in alphabet], np.int32)
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *added.values()]) + 1
+        self.of_last = np.array([vocab[c + suffix] for c in alphabet], np.int32)
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        size = max([*vocab.values(), *self.added.values()]) + 1
         self.token_bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
-            self.token_bytes[i] = bytes(to_byte[c] for c in token)
-        for token, i in added.items():
+            self.token_bytes[i] = bytes(to_byte[c] for c in (token.removesuffix(suffix) if suffix else token))
+        for token, i in self.added.items():
             self.token_bytes[i] = token.encode()
         self.shift = size.bit_length()
         keys = np.array([(vocab[a] << self.shift) | vocab[b] for a, b in merges], np.int64)
@@ -64,11 +89,10 @@ class RankBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.split = regex.compile(SPLIT)
-        self.added = added
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.split = regex.compile(split)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.uneven = regex.compile(rf" (?=[{SPACES}]|\Z)")
+        self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids; NO_RANK if there's none or an id is -1 (past the word's end)."""
@@ -76,13 +100,16 @@ class RankBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NO_RANK)
 
-    def merge_rows(self, words: list[bytes]) -> list[tuple]:
-        """Short words, sorted by length or not; one row of the rank array for each."""
+    def merge_rows(self, words: list[bytes]) -> list[bytes]:
+        """Short words; one row of the rank array for each."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max())
         inside = np.arange(width) < lengths[:, None]
-        parts = np.full((len(words), width), -1, np.int32)
-        parts[inside] = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        raw = np.zeros((len(words), width), np.uint8)
+        raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+        parts = np.where(inside, self.of_byte[raw], np.int32(-1))
+        ends = (np.arange(len(words)), lengths - 1)
+        parts[ends] = self.of_last[raw[ends]]
         ranks = np.full((len(words), width), NO_RANK, np.int32)
         ranks[:, :-1] = self.pair_ranks(parts[:, :-1], parts[:, 1:])
         out: list = [None] * len(words)
@@ -94,9 +121,10 @@ class RankBpe:
             done = best == NO_RANK
             if done.any():
                 kept = parts[done]
-                ends = (kept >= 0).sum(axis=1).tolist()
-                for i, row, n in zip(index[done].tolist(), kept.tolist(), ends, strict=True):
-                    out[i] = tuple(row[:n])
+                stops = (4 * (kept >= 0).sum(axis=1)).tolist()
+                flat, step = kept.astype("<i4").tobytes(), 4 * kept.shape[1]
+                for k, (i, n) in enumerate(zip(index[done].tolist(), stops, strict=True)):
+                    out[i] = flat[k * step : k * step + n]
                 live = ~done
                 index, parts, ranks, at, best = index[live], parts[live], ranks[live], at[live], best[live]
                 if not len(index):
@@ -114,9 +142,10 @@ class RankBpe:
             ranks[rows[has_after], at[has_after]] = self.pair_ranks(here, parts[rows, after])[has_after]
         return out
 
-    def merge_long(self, word: bytes) -> tuple:
+    def merge_long(self, word: bytes) -> bytes:
         """A word of any length in n log n steps: candidate merges in a heap, parts in a linked list."""
         ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.of_last[word[-1]])
         n = len(ids)
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
         find = lambda i, j: self.rank_of.get((ids[i] << self.shift) | ids[j])
@@ -135,57 +164,57 @@ class RankBpe:
                     heapq.heappush(heap, (r, i))
             if prv[i] >= 0 and (r := find(prv[i], i)) is not None:
                 heapq.heappush(heap, (r, prv[i]))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], "<i4").tobytes()
 
-    def learn(self, words: set[str]) -> dict[str, tuple]:
+    def of_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of all these words, in a dictionary that may hold others as well."""
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for w in words:
-            if w not in young:
-                if (ids := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    young[w] = ids
-        if new:
-            raw = [(w.encode(), w) for w in new]
-            for b, w in raw:
-                if len(b) > SHORT_WORD:
-                    young[w] = self.merge_long(b)
-            short = sorted((x for x in raw if len(x[0]) <= SHORT_WORD), key=lambda x: len(x[0]))
-            for at in range(0, len(short), 8192):
-                part = short[at : at + 8192]
-                young.update(zip([w for _, w in part], self.merge_rows([b for b, _ in part]), strict=True))
+        raw = [(w.encode(), w) for w in self.words.missing(words)]
+        young = self.words.young
+        for b, w in raw:
+            if len(b) > SHORT_WORD:
+                young[w] = self.merge_long(b)
+        short = sorted((x for x in raw if len(x[0]) <= SHORT_WORD), key=lambda x: len(x[0]))
+        for at in range(0, len(short), 4096):
+            part = short[at : at + 4096]
+            young.update(zip([w for _, w in part], self.merge_rows([b for b, _ in part]), strict=True))
         return young
 
+    def of_pieces(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        known = self.of_words(set().union(*lists))
+        return [b"".join(map(known.__getitem__, x)) for x in lists]
+
+    def of_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of all these chunks, each with a space before it, in a dictionary that may hold others as well."""
+        new = self.chunks.missing(chunks)
+        if new:
+            self.chunks.young.update(zip(new, self.of_pieces([self.split.findall(" " + c) for c in new]), strict=True))
+        return self.chunks.young
+
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
-        pieces: list[list] = []
-        words: set[str] = set()
-        marked = False
-        for text in texts:
-            if self.special and self.special.search(text):
-                found: list = []
-                marked = True
-                for part in self.special.split(text):
-                    if part in self.added:
-                        found.append(part)
-                    elif part:
-                        got = self.split.findall(part)
-                        words.update(got)
-                        found += got
+        """All ids in a row, and how many each text has.
+
+        Where every space stands before a character that isn't white space, splitting at spaces separates no word, and
+        each part can be encoded by itself; other texts, and texts with special tokens, are split as a whole."""
+        chunks, heads, others = [], {}, {}
+        for k, text in enumerate(texts):
+            if self.uneven.search(text) or self.special and self.special.search(text):
+                others[k] = self.special.split(text) if self.special else [text]
+                chunks.append(())
+            else:
+                head, *rest = text.split(" ")
+                heads[k] = self.split.findall(head)
+                chunks.append(rest)
+        known = self.of_chunks(set().union(*chunks))
+        first = dict(zip(heads, self.of_pieces(list(heads.values())), strict=True))
+        each = []
+        for k, rest in enumerate(chunks):
+            if k in first:
+                each.append(first[k] + b"".join(map(known.__getitem__, rest)))
             else:
-                found = self.split.findall(text)
-                words.update(found)
-            pieces.append(found)
-        known = self.learn(words)
-        if marked:
-            known = known | {t: (i,) for t, i in self.added.items()}
-        each = [list(chain.from_iterable(map(known.__getitem__, p))) for p in pieces]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum())), lengths
+                parts = self.of_pieces([[] if x in self.added else self.split.findall(x) for x in others[k]])
+                each.append(b"".join(np.array([self.added[x]], "<i4").tobytes() if x in self.added else ids for x, ids in zip(others[k], parts, strict=True)))
+        return np.frombuffer(b"".join(each), "<i4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
 
     def decode_ids(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -211,7 +240,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for rows, texts in text_groups(batch, text):
+            for rows, texts in text_groups(batch, text, TOKENISE_CHARS):
                 flat, lengths = bpe.encode_texts([t or "" for t in texts])
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
