@@ -32,7 +32,7 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 2.0, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 0.5, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss over quantile histograms.
 
     monotone: per feature 1 (the score must not fall as it grows), -1 (not rise) or 0.  A split on a constrained
