@@ -36,6 +36,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = 16
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 ORDINARY_DIGITS, BAR = 0.25, 0.7
+#: Occurrences that a character's own chance counts for beside those of a pair.
+LEAN = 4.0
 MASK = "[SECRET]"
 
 
@@ -94,12 +96,14 @@ def ratios(labelled: DataFrame) -> list[float]:
         tables[r["random"]][ALPHABET.index(r["pair"][0]) * size + ALPHABET.index(r["pair"][1])] = r["n"]
     if not all(map(any, tables.values())):
         return [0.0] * size**2
+    # A pair's chance leans on that of its second character, so that characters a sample lacks are unlikely there.
+    single = {k: [sum(t[b::size]) for b in range(size)] for k, t in tables.items()}
+    single = {k: [(n + 0.5) / (sum(c) + 0.5 * size) for n in c] for k, c in single.items()}
     out = []
     for a in range(size):
         rows = {k: t[a * size : (a + 1) * size] for k, t in tables.items()}
-        sums = {k: sum(r) for k, r in rows.items()}
         for b in range(size):
-            chance = {k: (rows[k][b] + 0.5) / (sums[k] + 0.5 * size) for k in rows}
+            chance = {k: (r[b] + LEAN * single[k][b]) / (sum(r) + LEAN) for k, r in rows.items()}
             out.append(math.log(0.5 * chance[True] + 0.5 / size) - math.log(chance[False]))
     return out
 
