@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import hashing, text, vectors
-from quillon.operators import auroc, behavior, bootstrap, directions, divergence, gates, near_duplicates, ranking, splits, stats, steering, verify
+from quillon.functions import hashing, tensors, text, vectors
+from quillon.operators import auroc, behavior, bootstrap, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
 from quillon.plans import fixture_sql as sql
 from quillon.plans import fixtures as fx
 from quillon.sources import files
@@ -596,3 +596,66 @@ def rounded_values(spark, d):
 def file_manifest(spark, d):
     files_found = files.manifest(spark, f"{d}/nation.parquet").unionByName(files.manifest(spark, f"{d}/region.parquet"))
     return files_found.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("path"), "bytes", "sha256")
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {sql.RESIDUALS} SELECT layer, count(DISTINCT item_id) AS n, 16 AS least_width, 16 AS greatest_width, 0::BIGINT AS not_finite FROM coords GROUP BY layer""")
+def tensor_metadata(spark, d):
+    return tensors.metadata(fx.residuals(spark, d), ["layer"])
+
+
+@query()
+def tensor_digests(spark, d):
+    return fx.table(spark, d, "embeddings").select("vec_id", tensors.bytes_digest(F.col("embedding")).alias("sha256"))
+
+
+def _trials(spark, d):
+    """The logits as two trials: as they are, and with the effect doubled."""
+    logits = fx.logits(spark, d)
+    doubled = F.zip_with("base", "steered", lambda b, s: 2 * s - b)
+    once = logits.select(F.lit("observed").alias("estimator"), F.lit(1).alias("layer"), F.lit(-1.0).alias("alpha"), "context_id", "pos", "base", "steered")
+    return once.unionByName(once.withColumn("alpha", F.lit(-2.0)).withColumn("steered", doubled))
+
+
+_TRIAL_SQL = sql.LOGITS.replace("b - zb AS lp", "{}").split(",\nz AS")
+TRIALS = (
+    _TRIAL_SQL[0].replace("SELECT vec_id AS context_id", "SELECT alpha, vec_id AS context_id").replace("+ 0.5 * (k % 4 - 1.5) AS s", "+ -0.5 * alpha * (k % 4 - 1.5) AS s").replace("FROM embeddings,", "FROM (VALUES (-1.0), (-2.0)) t(alpha), embeddings,")
+    + ",\nz AS"
+    + _TRIAL_SQL[1].replace("{}", "b - zb AS lp").replace("SELECT context_id, pos", "SELECT alpha, context_id, pos").replace("USING (context_id, pos)", "USING (alpha, context_id, pos)")
+)
+
+
+@query(f"""WITH {TRIALS}, c AS (SELECT alpha, context_id, avg(forward_kl) AS v FROM tokens GROUP BY ALL),
+ma AS (SELECT alpha, round(avg(v), 6) AS macro_mean, round(quantile_cont(v, 0.95), 6) AS macro_p95 FROM c GROUP BY alpha),
+mi AS (SELECT alpha, round(avg(forward_kl), 6) AS micro_mean, count(*) AS micro_n, round(avg(top1_agreement), 6) AS agreement, round(max(max_difference), 6) AS max_difference FROM tokens GROUP BY alpha)
+SELECT alpha::DOUBLE AS alpha, macro_mean, macro_p95, micro_mean, micro_n, agreement, max_difference FROM ma JOIN mi USING (alpha)""")
+def trial_summary(spark, d):
+    found = report.trial_divergence(_trials(spark, d), report.TRIAL)
+    return found.select("alpha", r("macro_mean"), r("macro_p95"), r("micro_mean"), "micro_n", r("agreement"), r("max_difference"))
+
+
+@query(f"""WITH {CONTRIBUTIONS}, d AS (SELECT metric, avg(steered) - avg(base) AS delta FROM pairs GROUP BY metric)
+SELECT alpha::DOUBLE AS alpha, round(-100 * (SELECT delta FROM d WHERE metric = 'pressure_error'), 6) AS pressure_reduction, round(-100 * (SELECT delta FROM d WHERE metric = 'natural_accuracy'), 6) AS natural_cost,
+round(-100 * (SELECT delta FROM d WHERE metric = 'controlled_accuracy'), 6) AS controlled_cost FROM (VALUES (-1.0), (-2.0)) t(alpha)""")
+def endpoint_table(spark, d):
+    """Behaviour and divergence joined on the trial key."""
+    known = fx.records(spark, d)
+    deltas = behavior.deltas(known, fx.responses(spark, d, known), "steered")
+    of = lambda metric: F.max(F.when(F.col("metric") == metric, F.col("delta")))
+    one = deltas.agg(of("pressure_error").alias("pressure_delta"), of("natural_accuracy").alias("natural_delta"), of("controlled_accuracy").alias("controlled_delta"))
+    trials = report.trial_divergence(_trials(spark, d), report.TRIAL)
+    behaviour = one.select(F.lit("observed").alias("estimator"), F.lit(1).alias("layer"), F.explode(F.array(F.lit(-1.0), F.lit(-2.0))).alias("alpha"), "*")
+    return report.endpoints(behaviour, trials).select("alpha", r("pressure_reduction"), r("natural_cost"), r("controlled_cost"))
+
+
+@query("SELECT event_id, (props::JSON ->> '$.k')::DOUBLE AS k FROM events")
+def nested_coordinates(spark, d):
+    events = fx.table(spark, d, "events").select("event_id", "props")
+    return report.coordinates(events, "props", ["k"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def frequency_counts(spark, d):
+    return report.frequencies(fx.table(spark, d, "events"), "event_type")

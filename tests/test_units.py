@@ -411,3 +411,65 @@ def test_stream_keeps_each_answer_once(spark, tmp_path):
         streaming.write_once(streaming.answers(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     assert {(r["id"], r["parsed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("r1", "A"), ("r2", None)}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+# --- control plane, reports, providers
+
+
+def test_study_validation(tmp_path):
+    import hashlib
+
+    from quillon.plans import study
+
+    good = {"schema_version": study.SCHEMA_VERSION, "modes": ["a", "b"], "alphas": [-1.0, 0.0]}
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps(good))
+    assert study.Study.load(str(path), hashlib.sha256(path.read_bytes()).hexdigest()).alphas == (-1.0, 0.0)
+    with pytest.raises(ValueError):
+        study.Study.load(str(path), "0" * 64)
+    for bad in ({"extra": 1}, {"confidence": True}, {"alphas": [1.0]}, {"modes": ["a", "a"]}, {"controls": 0}, {"fit_share": 0.9}, {"schema_version": "x"}):
+        path.write_text(json.dumps(good | bad))
+        with pytest.raises(ValueError):
+            study.Study.load(str(path))
+    assert study.canonical_digest({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+    with pytest.raises(ValueError):
+        study.canonical_digest(float("nan"))
+
+
+def test_runtime_report(spark):
+    from quillon.plans import study
+
+    assert study.runtime(spark)["spark"] == spark.version
+
+
+def test_provider_keeps_order_and_keys(spark):
+    from quillon.sources import provider
+
+    prompts = spark.createDataFrame([(k, f"p{k}") for k in range(150)], "id int, prompt string").repartition(3)
+    out = provider.generate(prompts, lambda: lambda asked: [p.upper() for p in asked], 7)
+    assert {r["id"]: r["text"] for r in out.collect()} == {k: f"P{k}" for k in range(150)}
+    with pytest.raises(PySparkException):
+        provider.generate(prompts, lambda: lambda asked: asked[1:]).collect()
+
+
+def test_endpoints_must_match(spark):
+    from quillon.operators import report
+
+    b = spark.createDataFrame([("e", 1, -1.0, -0.2, 0.01, 0.0)], "estimator string, layer int, alpha double, pressure_delta double, natural_delta double, controlled_delta double")
+    t = spark.createDataFrame([("e", 1, -1.0, 0.5)], "estimator string, layer int, alpha double, kl double")
+    r = one(report.endpoints(b, t))
+    assert (r["pressure_reduction"], r["natural_cost"], r["kl"]) == (20.0, -1.0, 0.5)
+    with pytest.raises(PySparkException):
+        report.endpoints(b, t.withColumn("alpha", F.lit(-2.0))).collect()
+
+
+def test_release_manifest_and_digests(spark):
+    import hashlib
+
+    from quillon.functions import tensors
+    from quillon.operators import report
+
+    models = spark.createDataFrame([("m", {"a": (3, "x")})], "model string, files map<string, struct<bytes: bigint, sha256: string>>")
+    assert tuple(one(report.release_manifest(models))) == ("m", "a", 3, "x")
+    got = one(spark.createDataFrame([([1.0, 2.5],)], "h array<float>").select(tensors.bytes_digest(F.col("h"))))[0]
+    assert got == hashlib.sha256(np.array([1, 2.5], "<f4").tobytes()).hexdigest()
