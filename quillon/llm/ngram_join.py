@@ -36,11 +36,11 @@ from quillon.llm.common import carried, map_arrow, materialise, read_table, text
 N, THRESHOLD = 5, 0.8
 ROWS, RECALL = 8, 0.9995
 #: Classes, and n-grams, in a part of a component at most (a single longer text is a part by itself).
-PART_CLASSES, PART_GRAMS = 1024, 1_000_000
+PART_CLASSES, PART_GRAMS = 256, 500_000
 #: Rows for which a list of row ids is sent to all executors; longer lists are joined over a shuffle.
 BROADCAST_ROWS = 500_000
 SALTS = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 RESULT = ["class_id", "n_links", "n_text_links", "n_copies", "keep"]
 
 
@@ -238,8 +238,8 @@ def links_of(table: DataFrame, classes: DataFrame, n: int, bands: int, rows: int
     return units.groupBy("label", "i", "j").applyInArrow(lambda t: verify(t, threshold), "cid bigint, root bigint, links bigint, documents bigint")
 
 
-def near_duplicates(docs: DataFrame, carry: list[str], id_column: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, with_text: bool = False) -> DataFrame:
-    """carry (and the text, if asked for), class_id, n_links, n_text_links, n_copies and keep of every row of docs."""
+def classify(docs: DataFrame, carry: list[str], id_column: str, text: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows (row_id, row, text and more), and row_id, row and RESULT of each."""
     bands = band_count(threshold)
     carry = [c for c in carry if c not in RESULT and c != text]
     source = docs.select(F.struct(*carry).alias("row"), F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, carry: list[str], id_column: str = "doc_id"
     )
     salted = table.select("row", "id", "row_id", "cls").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(known, ["cls", "salt"], "left")
-    result = joined.select(
+    return table, joined.select(
         "row_id",
         "row",
         F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("least")).alias("class_id"),
@@ -275,13 +275,20 @@ def near_duplicates(docs: DataFrame, carry: list[str], id_column: str = "doc_id"
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
         F.coalesce(F.col("keeper") == F.col("row_id"), F.lit(True)).alias("keep"),
     )
-    return result.join(table.select("row_id", F.col("text").alias(text)), "row_id").select("row.*", text, *RESULT) if with_text else result.select("row.*", *RESULT)
 
 
-def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all its columns, with one row of each class of near duplicates."""
+def near_duplicates(docs: DataFrame, carry: list[str], id_column: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """carry, class_id, n_links, n_text_links, n_copies and keep of every row of docs."""
+    return classify(docs, carry, id_column, text, n, threshold)[1].select("row.*", *RESULT)
+
+
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all its columns, with one row of each class of near duplicates; texts aren't shuffled if the list of dropped
+    rows is short enough to send."""
     whole = docs.withColumn("_all", F.struct(*(c for c in docs.columns if c != text)))
-    return near_duplicates(whole, ["_all"], id_column, text, with_text=True).where("keep").select("_all.*", text).select(*docs.columns)
+    table, result = classify(whole, ["_all"], id_column, text, n, threshold)
+    gone = materialise(result.where("not keep").select("row_id"), "near-dropped")
+    return listed(table, gone, "row_id", "left_anti").select("row._all.*", F.col("text").alias(text)).select(*docs.columns)
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
