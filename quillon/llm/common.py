@@ -23,10 +23,16 @@ GROUP_CHARS = 1_000_000
 
 
 _shipped: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once an application."""
+    """Give this package to the executors, once an application, and keep Arrow batches of texts small.
+
+    Spark's own 10,000 rows a batch are tens of megabytes of text in the JVM and again in Python for each task; another
+    value that the session has been given stays."""
+    if spark.conf.get(BATCH, None) == "10000":
+        spark.conf.set(BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -70,9 +70,13 @@ class Model:
     idf: np.ndarray
     floors: np.ndarray  # by size class: bits of the number of letters
 
-    def vectors(self, raw: np.ndarray) -> np.ndarray:
-        x = np.log1p(raw) * self.idf
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    def vectors(self, raw: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Unit vectors of count rows, in single precision and a batch of rows at a time."""
+        out, idf = np.empty(raw.shape, np.float32), self.idf.astype(np.float32)
+        for at in range(0, len(raw), batch):
+            x = np.log1p(raw[at : at + batch].astype(np.float32)) * idf
+            out[at : at + batch] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         both = [counts(t) for t in texts]
