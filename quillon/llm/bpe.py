@@ -31,6 +31,8 @@ CACHE_WORDS, CACHE_CHUNKS = 120_000, 200_000
 #: Characters that are encoded at once: the more, the fewer distinct parts to look up.
 TOKENISE_CHARS = 4_000_000
 NO_RANK = np.int32(2**31 - 1)
+#: Binary logarithm of the slots of the merge table.
+SLOT_BITS = 18
 # The split pattern of the tokenizer's byte-level pre-tokenizer; white space as Unicode defines it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
@@ -86,34 +88,66 @@ class RankBpe:
         self.shift = size.bit_length()
         keys = np.array([(vocab[a] << self.shift) | vocab[b] for a, b in merges], np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.fill_slots(keys)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.split = regex.compile(split)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.uneven = regex.compile(rf" (?=[{SPACES}]|\Z)")
         self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
 
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def fill_slots(self, keys: np.ndarray) -> None:
+        """An open-addressed table of the merges, which numpy probes for many pairs at once."""
+        size = 1 << SLOT_BITS
+        self.slot_key, self.slot_rank = np.full(size + len(keys), -1, np.int64), np.full(size + len(keys), NO_RANK, np.int32)
+        at, rest = self.place(keys), np.arange(len(keys))
+        while len(rest):
+            free = self.slot_key[at] < 0
+            _, first = np.unique(at, return_index=True)
+            won = first[free[first]]
+            self.slot_key[at[won]], self.slot_rank[at[won]] = keys[rest[won]], rest[won]
+            lost = np.ones(len(rest), bool)
+            lost[won] = False
+            at, rest = at[lost] + 1, rest[lost]
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids; NO_RANK if there's none or an id is -1 (past the word's end)."""
         key = (left.astype(np.int64) << self.shift) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NO_RANK)
+        at = self.place(key)
+        found = self.slot_key[at]
+        out = np.where(found == key, self.slot_rank[at], NO_RANK)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        key, at = key.ravel()[more], at.ravel()[more]
+        flat = out.reshape(-1)
+        while len(more):
+            at += 1
+            found = self.slot_key[at]
+            hit = found == key
+            flat[more[hit]] = self.slot_rank[at[hit]]
+            on = ~hit & (found >= 0)
+            more, key, at = more[on], key[on], at[on]
+        return out
 
     def merge_rows(self, words: list[bytes]) -> list[bytes]:
         """Short words; one row of the rank array for each."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(lengths.max())
-        inside = np.arange(width) < lengths[:, None]
-        raw = np.zeros((len(words), width), np.uint8)
+        inside = np.arange(int(lengths.max())) < lengths[:, None]
+        raw = np.zeros(inside.shape, np.uint8)
         raw[inside] = np.frombuffer(b"".join(words), np.uint8)
         parts = np.where(inside, self.of_byte[raw], np.int32(-1))
         ends = (np.arange(len(words)), lengths - 1)
         parts[ends] = self.of_last[raw[ends]]
-        ranks = np.full((len(words), width), NO_RANK, np.int32)
+        return self.merge_parts(parts)
+
+    def merge_parts(self, parts: np.ndarray) -> list[bytes]:
+        """Rows of part ids, -1 behind a row's end.  A row may hold several words where ids of word ends differ from
+        others, for no merge then reaches over a word's end."""
+        ranks = np.full(parts.shape, NO_RANK, np.int32)
         ranks[:, :-1] = self.pair_ranks(parts[:, :-1], parts[:, 1:])
-        out: list = [None] * len(words)
-        index = np.arange(len(words))
+        out: list = [None] * len(parts)
+        index = np.arange(len(parts))
         while len(index):
             at = ranks.argmin(axis=1)
             rows = np.arange(len(index))

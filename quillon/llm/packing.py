@@ -17,11 +17,11 @@ are carried along.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +29,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.bpe import SHORT_WORD, TOKENISE_CHARS, RankBpe, Recent
 from quillon.llm.common import carried, map_arrow, materialise, read_table, text_groups
 
 WINDOW = 2048
 END_ID = 1
 #: Lengths that may stand in the middle of three; the commonest ones.
 MIDDLES = 12
-CACHE_WORDS = 150_000
+CACHE_CHUNKS = 200_000
+#: UTF-8 of characters up to U+00FF that lower case and normalisation keep within them, without white space.
+LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
+#: Of Latin-1 characters: 1 letters, 2 other numbers, 3 all else, 0 the newline between chunks.
+LATIN_KIND = np.array([0 if c == 10 else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(256)], np.uint8)
 FULL, PART_BITS = 1 << 62, 40
 
 
+def is_latin(text: str) -> bool:
+    """Whether lower case is a matter of single characters, and no special token can come of it."""
+    try:
+        return (text.isascii() or bool(text.encode("latin-1"))) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 class ChunkEncoder:
-    """Ids of a tokenizer that drops white space: a text is the chunks between ASCII white space, each encoded once."""
+    """Ids of a tokenizer that lowers case and drops white space: a text is the chunks between ASCII white space.
+
+    A short chunk of Latin-1 characters, which normalisation leaves alone, is split and merged here; the tokenizers
+    library encodes long and other ones, those with an apostrophe, and those that may hold a special token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,30 +65,47 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def learn(self, chunks: set[bytes]) -> dict[bytes, tuple]:
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for c in chunks:
-            if c not in young:
-                if (ids := old.get(c)) is None:
-                    new.append(c)
-                else:
-                    young[c] = ids
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            young.update((c, tuple(e.ids)) for c, e in zip(part, found, strict=True))
+        self.bpe = RankBpe(path)
+        self.chunks = Recent(CACHE_CHUNKS)
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        new, young = self.chunks.missing(chunks), self.chunks.young
+        plain = [c for c in new if len(c) <= SHORT_WORD and (c.isascii() or LATIN.fullmatch(c)) and b"'" not in c and b"<|" not in c]
+        if plain:
+            self.merge_chunks(plain)
+        other = [c for c in new if c not in young] if len(plain) < len(new) else []
+        for at in range(0, len(other), 4096):
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in other[at : at + 4096]], add_special_tokens=False)
+            young.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other[at : at + 4096], found, strict=True))
         return young
 
-    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        each = [t.encode().split() for t in texts]
+    def merge_chunks(self, chunks: list[bytes]) -> None:
+        """Chunks of Latin-1 letters, digits and marks: split by character class and merged, all in numpy."""
+        lowered = b"\n".join(chunks).decode().lower() + "\n"
+        kind = LATIN_KIND[np.frombuffer(lowered.encode("latin-1"), np.uint8)]
+        # A word ends where the kind of character changes, and every digit is a word.
+        last = np.append(kind[1:] != kind[:-1], True) | (kind == 2)
+        raw = np.frombuffer(lowered.encode(), np.uint8)
+        closes = np.append((raw[1:] & 0xC0) != 0x80, True)  # the last byte of a character
+        ends = np.zeros(len(raw), bool)
+        ends[np.flatnonzero(closes)] = last
+        stops = np.flatnonzero(raw == 10)
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        lengths = stops - starts
+        order = np.argsort(lengths, kind="stable")
+        ids = np.where(ends, self.bpe.of_last[raw], self.bpe.of_byte[raw])
+        for at in range(0, len(order), 4096):
+            rows = order[at : at + 4096]
+            columns = np.arange(int(lengths[rows[-1]]))
+            places = np.minimum(starts[rows, None] + columns, len(ids) - 1)
+            parts = np.where(columns < lengths[rows, None], ids[places], np.int32(-1))
+            self.chunks.young.update(zip([chunks[i] for i in rows.tolist()], self.bpe.merge_parts(parts), strict=True))
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text (uint32, little-endian)."""
+        each = [(t.lower() if is_latin(t) else t).encode().split() for t in texts]
         known = self.learn(set().union(*each))
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.uint32) for chunks in each]
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in each]
 
 
 @lru_cache(maxsize=2)
@@ -93,14 +126,15 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks, full = TaskContext.get().partitionId(), np.zeros(WINDOW, np.int64), 0
         for batch in batches:
-            for rows, texts in text_groups(batch):
+            for rows, texts in text_groups(batch, limit=TOKENISE_CHARS):
                 out: list[tuple] = []
                 for ids in encoder(path).encode_texts([t or "" for t in texts]):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    rest = len(ids) % WINDOW
-                    out.append((ids.tobytes(), len(ids), rest, part, int(ranks[rest]), full))
+                    ids += END_ID.to_bytes(4, "little")
+                    n = len(ids) // 4
+                    rest = n % WINDOW
+                    out.append((ids, n, rest, part, int(ranks[rest]), full))
                     ranks[rest] += 1
-                    full += len(ids) // WINDOW
+                    full += n // WINDOW
                 kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*carried(rows, "row"), *columns], names=["row", "ids", "n", "rest", "part", "local_rank", "local_full"])
