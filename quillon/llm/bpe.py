@@ -29,7 +29,7 @@ SHORT_WORD = 48
 #: Distinct words, and distinct parts between spaces, of which a worker remembers the ids; twice as many at most.
 CACHE_WORDS, CACHE_CHUNKS = 120_000, 200_000
 #: Characters that are encoded at once: the more, the fewer distinct parts to look up.
-TOKENISE_CHARS = 4_000_000
+TOKENISE_CHARS = 8_000_000
 NO_RANK = np.int32(2**31 - 1)
 #: Binary logarithm of the slots of the merge table.
 SLOT_BITS = 18
@@ -65,9 +65,9 @@ class Recent:
 
 
 class RankBpe:
-    """A BPE vocabulary over bytes; ids of a word or chunk are held as bytes (int32, little-endian)."""
+    """A BPE vocabulary over bytes; ids of a word or chunk are held as bytes of a numpy type."""
 
-    def __init__(self, path: str, split: str = SPLIT):
+    def __init__(self, path: str, dtype: str = "<i4"):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -90,7 +90,7 @@ class RankBpe:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.fill_slots(keys)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.split = regex.compile(split)
+        self.split, self.dtype = regex.compile(SPLIT), dtype
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.uneven = regex.compile(rf" (?=[{SPACES}]|\Z)")
         self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
@@ -155,8 +155,9 @@ class RankBpe:
             done = best == NO_RANK
             if done.any():
                 kept = parts[done]
-                stops = (4 * (kept >= 0).sum(axis=1)).tolist()
-                flat, step = kept.astype("<i4").tobytes(), 4 * kept.shape[1]
+                flat = kept.astype(self.dtype)
+                stops, step = (flat.itemsize * (kept >= 0).sum(axis=1)).tolist(), flat.itemsize * kept.shape[1]
+                flat = flat.tobytes()
                 for k, (i, n) in enumerate(zip(index[done].tolist(), stops, strict=True)):
                     out[i] = flat[k * step : k * step + n]
                 live = ~done
@@ -198,7 +199,7 @@ class RankBpe:
                     heapq.heappush(heap, (r, i))
             if prv[i] >= 0 and (r := find(prv[i], i)) is not None:
                 heapq.heappush(heap, (r, prv[i]))
-        return np.array([x for x in ids if x >= 0], "<i4").tobytes()
+        return np.array([x for x in ids if x >= 0], self.dtype).tobytes()
 
     def of_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of all these words, in a dictionary that may hold others as well."""

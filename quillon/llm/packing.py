@@ -36,7 +36,7 @@ WINDOW = 2048
 END_ID = 1
 #: Lengths that may stand in the middle of three; the commonest ones.
 MIDDLES = 12
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 320_000
 #: UTF-8 of characters up to U+00FF that lower case and normalisation keep within them, without white space.
 LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
 #: Of Latin-1 characters: 1 letters, 2 other numbers, 3 all else, 0 the newline between chunks.
@@ -65,7 +65,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.bpe = RankBpe(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.bpe = RankBpe(path, self.dtype.str)
         self.chunks = Recent(CACHE_CHUNKS)
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
@@ -76,7 +77,7 @@ class ChunkEncoder:
         other = [c for c in new if c not in young] if len(plain) < len(new) else []
         for at in range(0, len(other), 4096):
             found = self.tokenizer.encode_batch_fast([c.decode() for c in other[at : at + 4096]], add_special_tokens=False)
-            young.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(other[at : at + 4096], found, strict=True))
+            young.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(other[at : at + 4096], found, strict=True))
         return young
 
     def merge_chunks(self, chunks: list[bytes]) -> None:
@@ -102,7 +103,7 @@ class ChunkEncoder:
             self.chunks.young.update(zip([chunks[i] for i in rows.tolist()], self.bpe.merge_parts(parts), strict=True))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text (uint32, little-endian)."""
+        """Ids of each text, as bytes of self.dtype."""
         each = [(t.lower() if is_latin(t) else t).encode().split() for t in texts]
         known = self.learn(set().union(*each))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in each]
@@ -120,17 +121,21 @@ def default_path() -> str:
 
 
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
-    """docs: row (a struct of what is carried along) and text.  row, ids (uint32, little-endian), n, rest = n % WINDOW, part, and this row's rank in its part: local_rank among
-    rests of that length, local_full of its first full window."""
+    """docs: row (a struct of what is carried along) and text.
+
+    row, ids (bytes of unsigned integers, two or four bytes each, little-endian), n, rest = n % WINDOW, part, and this
+    row's rank in its part: local_rank among rests of that length, local_full of its first full window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks, full = TaskContext.get().partitionId(), np.zeros(WINDOW, np.int64), 0
         for batch in batches:
             for rows, texts in text_groups(batch, limit=TOKENISE_CHARS):
                 out: list[tuple] = []
-                for ids in encoder(path).encode_texts([t or "" for t in texts]):
-                    ids += END_ID.to_bytes(4, "little")
-                    n = len(ids) // 4
+                tool = encoder(path)
+                end, width = np.array(END_ID, tool.dtype).tobytes(), tool.dtype.itemsize
+                for ids in tool.encode_texts([t or "" for t in texts]):
+                    ids += end
+                    n = len(ids) // width
                     rest = n % WINDOW
                     out.append((ids, n, rest, part, int(ranks[rest]), full))
                     ranks[rest] += 1
@@ -280,7 +285,7 @@ def pack(docs: DataFrame, path: str, carry: list[str], with_ids: bool = True) ->
                     pieces = [(FULL | part << PART_BITS | full + k, 0, WINDOW) for k in range(n // WINDOW)]
                     if rest:
                         pieces += plan.place(rest, ahead + rank)
-                    start = 0
+                    start, ids = 0, np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                     for sequence, offset, size in pieces:
                         raw = ids[4 * start : 4 * (start + size)]
                         out.append((start, size, zlib.crc32(raw), n, sequence, offset, raw))

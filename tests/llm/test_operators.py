@@ -317,7 +317,7 @@ def test_packing_ids_match_the_library(texts):
     path = packing.default_path()
     mine, library = packing.ChunkEncoder(path), Tokenizer.from_file(path)
     for t in [*odd_texts(1500), *list(texts.values())[:60]]:
-        assert np.frombuffer(mine.encode_texts([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode_texts([t])[0], mine.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_plan_is_feasible():
