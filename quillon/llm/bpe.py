@@ -29,7 +29,7 @@ SHORT_WORD = 48
 #: Distinct words, and distinct parts between spaces, of which a worker remembers the ids; twice as many at most.
 CACHE_WORDS, CACHE_CHUNKS = 120_000, 200_000
 #: Characters that are encoded at once: the more, the fewer distinct parts to look up.
-TOKENISE_CHARS = 8_000_000
+TOKENISE_CHARS = 3_000_000
 NO_RANK = np.int32(2**31 - 1)
 #: Binary logarithm of the slots of the merge table.
 SLOT_BITS = 18

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import SHORT_WORD, TOKENISE_CHARS, RankBpe, Recent
+from quillon.llm.bpe import SHORT_WORD, RankBpe, Recent
 from quillon.llm.common import carried, map_arrow, materialise, read_table, text_groups
 
 WINDOW = 2048
@@ -37,6 +37,8 @@ END_ID = 1
 #: Lengths that may stand in the middle of three; the commonest ones.
 MIDDLES = 12
 CACHE_CHUNKS = 320_000
+#: Characters that are encoded at once.
+TOKENISE_CHARS = 8_000_000
 #: UTF-8 of characters up to U+00FF that lower case and normalisation keep within them, without white space.
 LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
 #: Of Latin-1 characters: 1 letters, 2 other numbers, 3 all else, 0 the newline between chunks.
