@@ -4,11 +4,13 @@ Base.  E-mail addresses, IP addresses, card numbers and phone numbers by their w
 
 Method: bootstrapped contextual extraction.  Base spans are seed entities.  The two words before an entity, and the
 word before with the word after, are lexical patterns; tokens with DIGITS digits or more, or an `@`, outside base spans
-are candidate instances.  Patterns and instances form a graph, scored in turns: a pattern by the share of its instances
-that are believed, an instance by its best pattern (a seed always by 1).  A pattern is accepted if its score is at
-least CONFIDENCE, it has SUPPORT different seeds or more, and at least SPECIFIC of all occurrences of its rarest word
-come with an identifier, so that common words never become patterns.  Candidates in accepted patterns are added as
-spans of kind `context`.  Word counts and the graph cover all documents.
+are candidate instances.  Patterns and instances form a graph, scored in ROUNDS turns: a pattern by the share of its
+instances that are believed, an instance by its best pattern (a seed always by 1).  A pattern is accepted if its score
+is at least CONFIDENCE, it has SUPPORT or more different instances that are seeds or were found by accepted patterns,
+and at least SPECIFIC of all occurrences of its rarest word come with an identifier, so that common words never become
+patterns.  What accepted patterns find is believed by their score from then on, and scoring starts again, until no
+pattern is added.  Candidates in accepted patterns are added as spans of kind `context`.  Word counts and the graph
+cover all documents.
 
 A null text is the empty text and has no spans.  Rows are judged one by one, repeated ids too; other columns are
 carried along.
@@ -149,17 +151,30 @@ def with_scores(edges: DataFrame, scores: DataFrame, key: str) -> DataFrame:
 def accepted_patterns(found: DataFrame, counts: DataFrame) -> DataFrame:
     """pattern, score.  found: row_id, value, pattern, seed of every entity in every pattern; counts: token, n."""
     edges = found.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    rare = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.sum("n").alias("occurrences")).where(F.col("seeds") >= SUPPORT)
-    words = rare.select("pattern", "occurrences", F.explode(F.slice(F.split("pattern", " "), 2, 2)).alias("word"))
+    # Under SUPPORT values of any kind a pattern can never have SUPPORT believed ones.
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("occurrences")).where(F.col("values") >= SUPPORT)
+    words = wide.select("pattern", "occurrences", F.explode(F.slice(F.split("pattern", " "), 2, 2)).alias("word"))
     words = words.join(counts.select(F.col("token").cast("string").alias("word"), F.col("n").alias("in_all")), "word")
     specific = words.groupBy("pattern", "occurrences").agg(F.min("in_all").alias("least")).where(F.col("occurrences") >= SPECIFIC * F.col("least")).select("pattern")
     edges = materialise(with_scores(edges, specific, "pattern"), "pii-edges")
-    believed = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    scores = None
-    for _ in range(ROUNDS):
-        scores = with_scores(edges, believed, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"))
-        believed = with_scores(edges, scores, "pattern").groupBy("value").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("score"))).alias("belief"))
-    return scores.where(F.col("score") >= CONFIDENCE)
+    sure = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("sure"))
+    edges, before = edges.select("pattern", "value"), 0
+    while True:
+        known = with_scores(edges, sure, "value")
+        supported = known.groupBy("pattern").agg(F.count_if(F.col("sure") > 0).alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
+        graph = materialise(with_scores(known, supported, "pattern"), "pii-graph")
+        believed, scores = graph.groupBy("value").agg(F.max("sure").alias("belief")), None
+        for _ in range(ROUNDS):
+            scores = with_scores(graph, believed, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("score"))
+            believed = with_scores(graph, scores, "pattern").groupBy("value").agg(F.max(F.greatest("sure", "score")).alias("belief"))
+        good = materialise(scores.where(F.col("score") >= CONFIDENCE), "pii-patterns")
+        n = good.count()
+        if n == before:
+            return good
+        # Beliefs only rise, so accepted patterns stay accepted, and this ends.
+        found_by = with_scores(edges, good, "pattern").groupBy("value").agg(F.max("score").alias("score"))
+        sure = materialise(sure.join(found_by, "value", "left").select("value", F.greatest("sure", F.coalesce("score", F.lit(0.0))).alias("sure")), "pii-sure")
+        before = n
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:

@@ -288,6 +288,16 @@ def test_pii_learns_contexts(spark):
     assert all(rows[i]["n_phone"] == 1 and rows[i]["n_context"] == 0 for i, _ in seeds)
 
 
+def test_pii_learns_contexts_from_found_identifiers(spark):
+    texts = [f"some words then badge number +1 202 555 {1000 + k} and so on" for k in range(60)]
+    texts += [f"here badge number QX-{77000 + k}-Z stands alone" for k in range(30)]
+    texts += [f"with employee code QX-{77000 + k}-Z it went" for k in range(30)]  # no base span, all found above
+    texts += [f"with employee code RY-{55000 + k} it went" for k in range(3)]
+    texts += [f"the year {1900 + k} was long and the day was {2000 + k} too" for k in range(30)]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()
+    assert {r["doc_id"]: r["n_context"] for r in rows} == {i: int("QX" in t or "RY" in t) for i, t in enumerate(texts)}
+
+
 def test_packing_covers_every_id(spark, texts):
     from tokenizers import Tokenizer
 
