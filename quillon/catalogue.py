@@ -182,6 +182,12 @@ def near_duplicate_filtered(spark, d):
     return near_duplicates.without_members(unique, near_duplicates.jaccard_edges(unique, "id", "key"), "id").select("id")
 
 
+@query()
+def near_duplicate_filtered_full(spark, d):
+    """Questions that neither a token edge nor a sequence edge touches; SQL can express the token edges only."""
+    return near_duplicates.without_near(_unique(spark, d), "id", "key").select("id")
+
+
 @query()
 def near_duplicate_sequence(spark, d):
     items = fx.table(spark, d, "benchmark").select("item_id", text.lower_key(F.col("text")).alias("key"))

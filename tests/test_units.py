@@ -203,6 +203,28 @@ def test_sequence_edges_against_all_pairs(spark):
     assert {(r["id_a"], r["id_b"]) for r in near_duplicates.sequence_edges(df, "id", "t").collect()} == want
 
 
+def test_near_filter_has_token_and_sequence_edges(spark, monkeypatch):
+    from quillon import catalogue
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 7)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(40)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 30))) for _ in range(60)]
+    texts += [t[:k] + "z" + t[k + 1 :] for t in texts[:15] for k in [rnd.randrange(len(t))]]  # words differ, characters hardly
+    texts += [" ".join(sorted(t.split())) for t in texts[20:30]]  # the same words in another order
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    once = [k for k, t in enumerate(texts) if texts.count(t) == 1]
+    pairs = [(i, j) for i in once for j in once if i < j]
+    by_tokens = {(i, j) for i, j in pairs if jaccard(set(texts[i].split()), set(texts[j].split())) >= 0.9}
+    by_sequence = {(i, j) for i, j in pairs if ratio(texts[i], texts[j]) >= 0.9}
+    assert by_sequence - by_tokens and by_tokens - by_sequence
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(catalogue.fx, "table", lambda *_: df)
+    got = {int(r["id"].split(":")[1]) for r in catalogue.QUERIES["near_duplicate_filtered_full"](spark, "").collect()}
+    assert got == set(once) - {x for e in by_tokens | by_sequence for x in e}
+
+
 # --- directions, AUROC, gates
 
 
