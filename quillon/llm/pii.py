@@ -2,14 +2,15 @@
 
 Base.  E-mail addresses, IP addresses, card numbers and phone numbers by their written forms.
 
-Method: bootstrapped contextual extraction.  Base spans are seed entities.  The two words before an entity, and the
-word before with the word after, are lexical patterns; tokens with DIGITS digits or more, or an `@`, outside base spans
-are candidate instances.  Patterns and instances form a graph, scored in ROUNDS turns: a pattern by the share of its
+Method: bootstrapped contextual extraction.  Base spans are seed entities.  The two words before an entity, the
+word before, the word before with the word after, and the word after are lexical patterns; tokens and adjoining groups
+with DIGITS digits or more, or an `@`, outside base spans are candidate instances.  Patterns and instances form a graph, scored in ROUNDS turns: a pattern by the share of its
 instances that are believed, an instance by its best pattern (a seed always by 1).  A pattern is accepted if its score
 is at least CONFIDENCE, it has SUPPORT or more different instances that are seeds or were found by accepted patterns,
 and at least SPECIFIC of all occurrences of its rarest word come with an identifier, so that common words never become
 patterns.  What accepted patterns find is believed by their score from then on, and scoring starts again, until no
-pattern is added.  Candidates in accepted patterns are added as spans of kind `context`.  Word counts and the graph
+pattern is added.  Candidates in accepted patterns are added as spans of kind `context`, and so are weak ones, which have no say in the graph: shorter tokens with a digit, and capitals.
+Letters in lower case alone are no candidates.  Word counts and the graph
 cover all documents.
 
 A null text is the empty text and has no spans.  Rows are judged one by one, repeated ids too; other columns are
@@ -19,6 +20,7 @@ carried along.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,9 @@ from quillon.llm.lm_scoring import token_counts
 KINDS = ["email", "ip", "card", "phone", "context"]
 ROUNDS, CONFIDENCE, SUPPORT, SPECIFIC = 3, 0.8, 5, 0.5
 DIGITS = 4
+#: Characters of a group and groups in an identifier at most; characters of a weak candidate at least; letters of capitals
+#: before groups at most (longer ones may be an identifier); characters of a part of a word that counts as context.
+GROUP, GROUPS, SHORT, CAPITALS, PART = 8, 6, 3, 4, 100
 #: Parts into which a pattern's or an instance's edges are dealt when scores are joined to them.
 SALTS = 16
 # The forms of the contract.  A match can't begin inside a run of digits, as it would begin at the run.
@@ -42,7 +47,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-IDENTIFIER = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
+IDENTIFIER = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*|[\"'(\[{<]*[A-Z]{2,}[\"')\]}>,;:.!?]*(?![^\x20\x09-\x0D]))")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = "\"'()[]{}<>,;:.!?*#$%&|="
 
 
@@ -93,47 +99,113 @@ def lower(word: str) -> str:
     return word.encode().lower().decode()
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span; words beyond 100 characters away don't count."""
-    before = text[max(0, start - 100) : start].encode().lower().split()[-2:]
-    after = text[end : end + 60].encode().lower().split()[:1]
-    left = [w.decode() for w in before]
+def is_word(piece: str) -> bool:
+    """False for nothing, punctuation alone, and a part of a word too long to be told from others by its part."""
+    return len(piece) <= PART and bool(piece.strip(EDGES))
+
+
+class Words:
+    """The words of a text by place, found when they are first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.ends, self.starts = text, [], []
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """Two words before a span and one behind it, whole; parts of words that the span begins or ends in count too."""
+        if not self.starts:
+            for m in WORD.finditer(self.text):
+                self.starts.append(m.start())
+                self.ends.append(m.end())
+        text, i = self.text, bisect_right(self.starts, start - 1) - 1
+        left: list[str] = []
+        if i >= 0 and self.ends[i] > start:
+            left += [x for x in [text[max(self.starts[i], start - PART - 1) : start]] if is_word(x)]
+            i -= 1
+        while i >= 0 and len(left) < 2:
+            left.insert(0, text[self.starts[i] : self.ends[i]])
+            i -= 1
+        j, right = bisect_right(self.ends, end), []
+        if j < len(self.starts) and self.starts[j] < end:
+            right = [x for x in [text[end : min(self.ends[j], end + PART + 1)]] if is_word(x)]
+            j += 1
+        if not right and j < len(self.starts):
+            right = [text[self.starts[j] : self.ends[j]]]
+        return [lower(w) for w in left], [lower(w) for w in right]
+
+
+def patterns(words: Words, start: int, end: int) -> list[str]:
+    """Lexical patterns around a span: two words before it, one, one on each side, and one behind it."""
+    left, right = words.around(start, end)
     out = [f"L {left[0]} {left[1]}"] if len(left) == 2 else []
-    return out + ([f"B {left[-1]} {after[0].decode()}"] if left and after else [])
+    out += [f"O {left[-1]}"] if left else []
+    return out + ([f"B {left[-1]} {right[0]}"] if left and right else []) + ([f"R {right[0]}"] if right else [])
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, strong) of tokens and of adjoining groups outside base spans.
+
+    Groups are tokens of GROUP characters or less with digits, one space apart, after capitals at most; more than GROUPS
+    of them in a row are a table, and each is a token by itself.  Strong ones have DIGITS digits or an `@`."""
+    run: list[tuple[int, int, bool]] = []  # start, end, whether capitals only
+    open_end, k = False, 0
+
+    def spill() -> Iterator[tuple[int, int, bool]]:
+        if not run:
+            return
+        parts = [(run[0][0], run[-1][1])] if 1 < len(run) <= GROUPS and any(not x[2] for x in run) else [x[:2] for x in run]
+        for a, b in parts:
+            piece = text[a:b]
+            digits = sum(c in "0123456789" for c in piece)
+            if digits >= DIGITS or "@" in piece[1:-1]:
+                yield a, b, True
+            elif b - a >= SHORT and (digits or len(piece) > CAPITALS):
+                yield a, b, False
+
+    for m in IDENTIFIER.finditer(text):
+        word = m.group()
+        body = word.lstrip(EDGES)
+        a = m.start() + len(word) - len(body)
+        b = a + len(body.rstrip(EDGES))
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if b <= a or any(x < b and y > a for x, y in taken[k : k + 8]):
+            continue
+        if text[a - 1 : a] == "(" and text[b : b + 1] == ")":
+            a, b = a - 1, b + 1
+        capitals = not any(c in "0123456789@" for c in text[a:b])
+        joins = bool(run) and open_end and a - run[-1][1] == 1 and text[a - 1] == " " and b - a <= GROUP and not capitals and "@" not in text[a:b]
+        if not joins:
+            yield from spill()
+            run.clear()
+        run.append((a, b, capitals))
+        open_end = b - a <= (CAPITALS if capitals else GROUP) and "@" not in text[a:b]
+    yield from spill()
 
 
 def entities(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(start, end, value, patterns, seed) of base spans, and of candidates outside them."""
-    out = [(a, b, text[a:b], patterns(text, a, b), True) for a, _, b in base]
-    if DIGIT.search(text) or "@" in text:
-        taken, k = sorted((a, b) for a, _, b in base), 0
-        for m in IDENTIFIER.finditer(text):
-            word = m.group()
-            body = word.lstrip(EDGES)
-            a = m.start() + len(word) - len(body)
-            b = a + len(body.rstrip(EDGES))
-            while k < len(taken) and taken[k][1] <= a:
-                k += 1
-            free = all(x >= b or y <= a for x, y in taken[k : k + 8])
-            if b > a and free and (sum(c in "0123456789" for c in text[a:b]) >= DIGITS or "@" in text[a + 1 : b - 1]):
-                out.append((a, b, text[a:b], patterns(text, a, b), False))
+    """(start, end, value, patterns, seed, strong) of base spans, and of candidates outside them."""
+    words = Words(text)
+    out = [(a, b, text[a:b], patterns(words, a, b), True, True) for a, _, b in base]
+    if base or IDENTIFIER.search(text):
+        taken = sorted((a, b) for a, _, b in base)
+        out += [(a, b, text[a:b], patterns(words, a, b), False, strong) for a, b, strong in candidates(text, taken)]
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs: row (a struct) and text.  row, row_id, base spans, and entities with their patterns."""
-    fields = "row_id bigint, base array<struct<s: int, k: int, e: int>>, found array<struct<s: int, e: int, value: string, patterns: array<string>, seed: boolean>>"
+    fields = "row_id bigint, base array<struct<s: int, k: int, e: int>>, found array<struct<s: int, e: int, value: string, patterns: array<string>, seed: boolean, strong: boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         triple = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
-        entity = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())]))
+        entity = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("strong", pa.bool_())]))
         for batch in batches:
             for rows, texts in text_groups(batch):
                 base = [base_spans(t or "") for t in texts]
                 found = [entities(t or "", b) for t, b in zip(texts, base, strict=True)]
                 as_base = pa.array([[dict(zip("ske", x, strict=True)) for x in b] for b in base], triple)
-                names = ("s", "e", "value", "patterns", "seed")
+                names = ("s", "e", "value", "patterns", "seed", "strong")
                 as_found = pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], entity)
                 yield pa.RecordBatch.from_arrays([*carried(rows, "row"), pa.array(range(row, row + len(texts)), pa.int64()), as_base, as_found], names=["row", "row_id", "base", "found"])
                 row += len(texts)
@@ -182,8 +254,8 @@ def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     new = ["n_email", "n_ip", "n_card", "n_phone", "n_context", "base", "spans"]
     carry = [c for c in carry if c not in new]
     table = materialise(scan(docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text"))), "pii-scan")
-    found = table.select("row_id", F.explode("found").alias("f")).select("row_id", "f.s", "f.e", "f.value", "f.seed", F.explode("f.patterns").alias("pattern"))
-    good = accepted_patterns(found.select("value", "seed", "pattern"), token_counts(docs.select(F.col(text).alias("text"))))
+    found = table.select("row_id", F.explode("found").alias("f")).select("row_id", "f.s", "f.e", "f.value", "f.seed", "f.strong", F.explode("f.patterns").alias("pattern"))
+    good = accepted_patterns(found.where("strong").select("value", "seed", "pattern"), token_counts(docs.select(F.col(text).alias("text"))))
     fresh = with_scores(found.where("not seed"), good.select("pattern"), "pattern")
     span = F.struct("s", F.lit(len(KINDS) - 1).alias("k"), "e")
     fresh = fresh.groupBy("row_id").agg(F.collect_set(span).alias("fresh"))

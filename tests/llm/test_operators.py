@@ -298,6 +298,23 @@ def test_pii_learns_contexts_from_found_identifiers(spark):
     assert {r["doc_id"]: r["n_context"] for r in rows} == {i: int("QX" in t or "RY" in t) for i, t in enumerate(texts)}
 
 
+def test_pii_single_cue_words_groups_and_short_tokens(spark):
+    long = "y" * 150
+    texts = [f"was{k} so{k} passport +1 202 555 {1000 + k} then{k} on" for k in range(30)]  # one word stays the same
+    texts += [f"was{k} so{k} +1 303 555 {1000 + k} handset on{k}" for k in range(30)]
+    texts += [f"so{k} {long} +1 404 555 {1000 + k} end{k}" for k in range(30)]
+    new = [("and his passport ", "X1234567", " too"), ("or passport ", "QX 77 812", " here"), ("or passport ", "X12", " here"), ("or passport ", "KLMPQRS", " here"), ("or passport ", "(202) 555-0143", " here")]
+    new += [("about ", "B-99 812", " handset was"), (f"with {long} ", "77-812-Z", " was")]
+    other = [f"with {'y' * 149} 77-8{k}2-Z was" for k in range(9)]
+    texts += [a + x + b for a, x, b in new] + other + ["the year 1999 was long"]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ["doc_id"]).collect()
+    got = {r["doc_id"]: r["spans"] for r in rows}
+    for k, (a, x, _) in enumerate(new):
+        assert got[90 + k] == f"context:{len(a)}:{len(a + x)}", x
+    assert all(got[90 + len(new) + k] == "" for k in range(len(other) + 1))
+    assert list(pii.candidates("1 2 3 4 5 6 7 8 9 1990. 2000 x", [])) == [(18, 22, True), (24, 28, True)]
+
+
 def test_packing_covers_every_id(spark, texts):
     from tokenizers import Tokenizer
 
