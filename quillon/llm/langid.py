@@ -6,11 +6,14 @@ centroids for each language (spherical k-means).  The best centroid's language i
 if its cosine is under a floor that depends on how many letters it has: FLOOR_SHARE of the least cosine of correctly
 labelled sample texts of at most that size class; texts of under FLOOR_LETTERS letters have no floor.
 
-Document frequencies count every training document.  Centroids come from a bounded sample: SAMPLE_ROWS in all, shared
-evenly among at most MAX_LANGS languages, chosen by a hash of the id.
+Document frequencies count every training document.  Centroids come from a sample: SAMPLE_ROWS in all, shared evenly
+among all languages, but CENTROIDS rows of each at least.  A language's rows are those with a letter that have its
+least hashes of id and text, so that each language with such a row is in the model, whatever its size.  With more than
+SAMPLE_ROWS / CENTROIDS languages each has fewer centroids, and one at least.
 
 A text that is null or has no letter is `und` with score 0 and rejected.  Without any training text all are `und`.
-Ties go to the language that sorts first.  Repeated rows count as often as they occur; other columns are carried along.
+Ties go to the language that sorts first.  Repeated rows count as often as they occur, but are in the sample once;
+other columns are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +32,6 @@ from quillon.llm.common import held_out, read_table, text_groups
 
 BUCKETS = 4096
 SAMPLE_ROWS = 4000
-MAX_LANGS = 200
 CENTROIDS = 4
 FLOOR_SHARE = 0.6
 FLOOR_LETTERS = 64
@@ -123,16 +125,36 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[np.ndarray,
     return np.array([found.get(b, 0) for b in range(BUCKETS)], float), found.get(-1, 0)
 
 
+def at_most(labelled: DataFrame, bars: dict[str, int]) -> DataFrame:
+    """Rows whose hash is at most their language's bar, each once."""
+    table = labelled.sparkSession.createDataFrame(list(bars.items()), "lang string, bar bigint")
+    return labelled.join(F.broadcast(table), "lang").where(F.col("hash") <= F.col("bar")).drop("bar").dropDuplicates(["lang", "hash"])
+
+
+def least_hashes(labelled: DataFrame, sizes: dict[str, int], share: int) -> DataFrame:
+    """The `share` rows of each language with its least hashes, or all its rows.  labelled: lang, text, hash.
+
+    A bar that about twice as many rows pass is set first, and raised where repeated rows leave too few."""
+    top = (1 << 63) - 1
+    bars, exact = {k: min(top, 2 * share * top // n) for k, n in sizes.items()}, {}
+    while bars:
+        ranked = at_most(labelled.select("lang", "hash"), bars).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+        found = {r["lang"]: r for r in ranked.where(F.col("rank") <= share).groupBy("lang").agg(F.count("*").alias("n"), F.max("hash").alias("bar")).collect()}
+        done = {k for k, bar in bars.items() if bar == top or k in found and found[k]["n"] == share}
+        exact |= {k: found[k]["bar"] for k in done if k in found}
+        bars = {k: min(top, 64 * bar) for k, bar in bars.items() if k not in done}
+    return at_most(labelled, exact)
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """docs: doc_id, text, lang; all of them may be learned from."""
-    labelled = docs.where("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    labelled = docs.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("hash"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = max(rows // max(len(sizes), 1), CENTROIDS)
     df, n = document_frequency(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    share = rows / max(len(sizes), 1)
-    picks = F.lit(False)
-    for r in sizes:
-        picks = picks | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(min(1.0, 0.9 * share / r["n"]) * 1_000_000)))
+    picked = least_hashes(labelled, sizes, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,14 +163,15 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 raw = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c, _ in both]
                 yield pa.RecordBatch.from_arrays([group.column(group.schema.get_field_index("lang")), pa.array(raw, pa.binary()), pa.array([m for _, m in both], pa.int64())], names=["lang", "raw", "letters"])
 
-    got = labelled.where(picks).limit(rows).select("lang", "text").mapInArrow(run, "lang string, raw binary, letters bigint").where("letters > 0").toArrow().to_pydict()
+    got = picked.select("lang", "text").mapInArrow(run, "lang string, raw binary, letters bigint").where("letters > 0").toArrow().to_pydict()
     names = sorted(set(got["lang"]))
     model = Model(names, np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(32))
     if not names:
         return model
     x = model.vectors(np.frombuffer(b"".join(got["raw"]), np.uint16).reshape(-1, BUCKETS))
     lang = np.array([names.index(v) for v in got["lang"]])
-    parts = [kmeans(x[lang == k], CENTROIDS) for k in range(len(names))]
+    each = max(1, min(CENTROIDS, rows // len(names)))
+    parts = [kmeans(x[lang == k], each) for k in range(len(names))]
     model.centroids, model.owner = np.concatenate(parts), np.repeat(np.arange(len(names)), [len(p) for p in parts])
     cosine = x @ model.centroids.T
     best = cosine.argmax(axis=1)
@@ -168,7 +191,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", with_text: bool =
     new = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
     keep = [c for c in df.columns if c not in new and (with_text or c != text)]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(k, t) for k, t in new.items())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by MAX_LANGS, CENTROIDS and BUCKETS
+    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SAMPLE_ROWS, BUCKETS and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -170,6 +170,25 @@ def test_language_unknown_and_rejected(spark, documents):
 ALPHABET = "ab 'stBÀÉİ\n\t\x1c\x85\xa0éß漢🙂1٣.,-_@́​Σ²½ª<|"
 
 
+def test_every_language_is_in_the_model(spark, monkeypatch):
+    many = spark.createDataFrame([(3 * k + j, f"tok{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3 + f"w{j}", f"l{k}") for k in range(300) for j in range(3)], "doc_id bigint, text string, lang string")
+    assert langid.train(many).langs == sorted(f"l{k}" for k in range(300))
+    monkeypatch.setattr(langid, "document_frequency", lambda _: (np.ones(langid.BUCKETS), 2))
+    hot = spark.range(1_200_000).select(F.col("id").alias("doc_id"), F.lit("many words").alias("text"), F.lit("hot").alias("lang"))
+    few = spark.createDataFrame([(-1, "altro testo", "few"), (-2, "12", "none")], hot.schema)
+    assert langid.train(hot.union(few), rows=2).langs == ["few", "hot"]
+
+
+def test_language_sample_has_the_least_hashes(spark):
+    docs = spark.range(5000).select((F.col("id") % 700).alias("doc_id"), F.lit("many words").alias("text"), F.when(F.col("id") % 700 < 650, "a").otherwise("b").alias("lang"))
+    docs = docs.union(spark.range(4000).select(F.lit(9000).alias("doc_id"), F.lit("copies"), F.lit("c")))
+    keyed = docs.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("hash"))
+    rows = {(r["lang"], r["hash"]) for r in keyed.collect()}
+    want = {x for k in "abc" for x in sorted(x for x in rows if x[0] == k)[:40]}
+    got = langid.least_hashes(keyed, {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().collect()}, 40).collect()
+    assert sorted((r["lang"], r["hash"]) for r in got) == sorted(want)
+
+
 def odd_texts(n):
     rnd = random.Random(5)
     fixed = ["", "<|endoftext|>", "a<|endoftext|> b", "x  y", "end ", "It's I'LL don't", "A" * 300, " " * 70 + "z", "0123456789" * 50]
