@@ -6,6 +6,8 @@ bounded text size, so that memory doesn't grow with the partition or with the nu
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the separator of words in every contract of this subpackage.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -29,15 +32,18 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors, once an application, and keep Arrow batches of texts small.
 
-    Spark's own 10,000 rows a batch are tens of megabytes of text in the JVM and again in Python for each task; another
-    value that the session has been given stays."""
+    Spark's own 10,000 rows a batch are tens of megabytes of text in the JVM and again in Python for each task, so the
+    session's setting is changed to 2,000; another value that the session has been given stays.  The zip is served from the
+    driver's temporary folder for as long as the driver runs."""
     if spark.conf.get(BATCH, None) == "10000":
         spark.conf.set(BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -51,15 +57,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a local master, all of whose
+    tasks run in the driver's process, gets a temporary one; any other master gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints"
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder; results that read them are gone too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -70,9 +86,10 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 def map_arrow(
-    df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+    df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
-    """mapInArrow over just these columns, so that the scan is pruned to them."""
+    """mapInArrow over just these columns, so that the scan is pruned to them; the executors have the package."""
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(fn, schema)
 
 
@@ -100,6 +117,3 @@ def held_out(column: str, modulus: int):
     """True where crc32 of the id as text leaves remainder 1; a null id is in the training part."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)) == 1, F.lit(False))
 
-
-def digest_spans(column: str):
-    return F.sha2(F.col(column), 256)

@@ -6,14 +6,14 @@ centroids for each language (spherical k-means).  The best centroid's language i
 if its cosine is under a floor that depends on how many letters it has: FLOOR_SHARE of the least cosine of correctly
 labelled sample texts of at most that size class; texts of under FLOOR_LETTERS letters have no floor.
 
-Document frequencies count every training document.  Centroids come from a sample: SAMPLE_ROWS in all, shared evenly
+Document frequencies count every training document with a lang and a letter.  Centroids come from a sample: SAMPLE_ROWS in all, shared evenly
 among all languages, but CENTROIDS rows of each at least.  A language's rows are those with a letter that have its
 least hashes of id and text, so that each language with such a row is in the model, whatever its size.  With more than
 SAMPLE_ROWS / CENTROIDS languages each has fewer centroids, and one at least.
 
 A text that is null or has no letter is `und` with score 0 and rejected.  Without any training text all are `und`.
 Ties go to the language that sorts first.  Repeated rows count as often as they occur, but are in the sample once;
-other columns are carried along.
+other columns are carried along, but those with the names of results are left out.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import held_out, read_table, text_groups
+from quillon.llm.common import held_out, map_arrow, read_table, text_groups
 
 BUCKETS = 4096
 SAMPLE_ROWS = 4000
@@ -120,7 +120,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[np.ndarray,
                     n += letters > 0
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, BUCKETS), pa.int32()), pa.array([n, *total.tolist()], pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    rows = map_arrow(docs, [text], run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     found = dict(zip(rows["bucket"], rows["n"], strict=True))
     return np.array([found.get(b, 0) for b in range(BUCKETS)], float), found.get(-1, 0)
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     labelled = labelled.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("hash"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = max(rows // max(len(sizes), 1), CENTROIDS)
-    df, n = document_frequency(docs)
+    df, n = document_frequency(labelled)
     idf = np.log((n + 1) / (df + 1)) + 0.1
     picked = least_hashes(labelled, sizes, share)
 
@@ -163,7 +163,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 raw = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c, _ in both]
                 yield pa.RecordBatch.from_arrays([group.column(group.schema.get_field_index("lang")), pa.array(raw, pa.binary()), pa.array([m for _, m in both], pa.int64())], names=["lang", "raw", "letters"])
 
-    got = picked.select("lang", "text").mapInArrow(run, "lang string, raw binary, letters bigint").where("letters > 0").toArrow().to_pydict()
+    got = map_arrow(picked, ["lang", "text"], run, "lang string, raw binary, letters bigint").where("letters > 0").toArrow().to_pydict()
     names = sorted(set(got["lang"]))
     model = Model(names, np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(32))
     if not names:
@@ -199,7 +199,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", with_text: bool =
                 langs, score, rejected = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=[*keep, *new])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_arrow(df, list(dict.fromkeys([*keep, text])), run, schema)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality rules: boosted trees over document statistics, with rules on length and repetition before them.
 
-The trees learn `quality` of labels from a bounded sample of labelled documents (SAMPLE_ROWS at most, chosen by a hash
-of the id); every document's statistics come from its whole text.  Constraints: the score never rises with the shares
-of repeated words, repeated lines, symbols and capitals.  The bar is 0.5, or lower if that would reject more than
-GOOD_LOSS of the sample's good documents.  Without usable labels of both kinds only the base rules decide.
-
-A null text has no words, and so fails the base rules.  Rows keep their multiplicity and other columns are carried
-along.  Labelled ids with contradictory labels, null ids and null labels teach nothing.
+The trees learn `quality` of labels from a bounded sample of labelled documents (SAMPLE_ROWS at most, those of the least
+hashes of the id); every document's statistics come from its whole text.  Constraints: the score never rises with the
+shares of repeated words, repeated lines, symbols and capitals.  The bar comes from scores of halves of the sample by
+trees fitted to the other half: 0.5, or lower if that would reject more than GOOD_LOSS of the good documents, but not so
+low that it would keep more than BAD_KEPT of the bad ones.  Without usable labels of both kinds only the base rules decide.
+
+A null or empty text has no words, and so fails the base rules.  Scores equal to the bar are kept.  Rows keep their
+multiplicity and other columns are carried along, but those with the names of results are left out; an empty table gives
+no rows.  Labelled ids with contradictory labels, null ids and null labels teach nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import gbt
-from quillon.llm.common import ASCII_SPACE, read_table, text_groups
+from quillon.llm.common import ASCII_SPACE, map_arrow, read_table, text_groups
 
 SAMPLE_ROWS = 12_000
-GOOD_LOSS = 0.002
+GOOD_LOSS, BAD_KEPT = 0.002, 0.05
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_shouts"]
@@ -92,15 +94,21 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
                 found = np.array([statistics(t or "") for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in keep), *(pa.array(c) for c in found.T)], names=[*keep, *STATS])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return map_arrow(df, [*keep, text], run, schema)
+
+
+def hash_bar(rows: int, total: int) -> int:
+    """The bar that about 0.9 * rows of `total` 63-bit hashes stay under; all of them if there are no more than that."""
+    top = (1 << 63) - 1
+    return top if 10 * total <= 9 * rows else 9 * rows * top // (10 * total)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Texts of a bounded sample of labelled documents; the sampled ids are few enough to broadcast, by `rows`."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("quality").alias("_most")).where("good = _most").select("doc_id", "good")
     total = known.count()
-    share = min(1.0, 0.9 * rows / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(rows)
+    hashed = known.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    chosen = hashed.where(F.col("hash") <= hash_bar(rows, total)).orderBy("hash", "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text")
 
 
@@ -109,9 +117,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     sample = measure(labelled_sample(docs, labels, rows)).limit(2 * rows).toArrow().to_pydict()
     y = np.array(sample["good"], float)
     x = features(np.array([sample[c] for c in STATS], float).T.reshape(-1, len(STATS)))
-    trees = gbt.fit(x, y, np.array(list(FEATURES.values())))
-    good = np.sort(trees.probability(x[y > 0])) if len(trees.roots) else np.array([])
-    return trees, min(0.5, float(good[int(GOOD_LOSS * len(good))])) if len(good) else 0.0
+    order = np.lexsort((*x.T, y))  # the halves don't depend on the order in which rows arrive
+    x, y, signs = x[order], y[order], np.array(list(FEATURES.values()))
+    trees = gbt.fit(x, y, signs)
+    return trees, bar_of(x, y, signs) if len(trees.roots) else 0.0
+
+
+def bar_of(x: np.ndarray, y: np.ndarray, signs: np.ndarray) -> float:
+    """The bar by scores of rows that the trees haven't seen."""
+    half, scores = np.arange(len(y)) % 2 == 0, np.empty(len(y))
+    for part in (half, ~half):
+        other = gbt.fit(x[~part], y[~part], signs)
+        scores[part] = other.probability(x[part]) if len(other.roots) else 0.5
+    good, bad = np.sort(scores[y > 0]), np.sort(scores[y <= 0])
+    least, most = good[int(GOOD_LOSS * len(good))], bad[int((1 - BAD_KEPT) * (len(bad) - 1))]
+    return min(0.5, float(max(least, most)))
 
 
 def judge(df: DataFrame, trees: gbt.Trees, bar: float, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -132,7 +152,7 @@ def judge(df: DataFrame, trees: gbt.Trees, bar: float, text: str = "text", with_
                     names=[*keep, *new],
                 )
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_arrow(df, list(dict.fromkeys([*keep, text])), run, schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
