@@ -142,14 +142,42 @@ def test_quality_statistics_and_labels(spark, texts):
             assert r["kept"] == bool(labels[r["doc_id"]])
 
 
+def test_label_sample_has_a_share_at_any_size():
+    for total in (0, 5, 10_000, 100_000, 10**9, 5 * 10**10, 10**13):
+        bar = quality.hash_bar(12_000, total)
+        assert bar == (1 << 63) - 1 if total <= 10_800 else abs(bar / 2**63 * total - 10_800) < 1
+
+
+def test_quality_on_labels_it_has_not_seen(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    trees, bar = quality.train(docs, labels.where(~held))
+    rows = quality.judge(docs.join(labels.where(held), "doc_id"), trees, bar).where("not base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
+
+
+def test_quality_bar_is_not_pulled_down_by_wrong_labels():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, len(quality.FEATURES)))
+    y = (x[:, 1] > 0.3).astype(float)
+    y[(y == 0) & (rng.random(2000) < 0.02)] = 1  # junk labelled good
+    signs = np.zeros(len(quality.FEATURES))
+    fresh = rng.random((4000, len(quality.FEATURES)))
+    kept = gbt.fit(x, y, signs).probability(fresh) >= quality.bar_of(x, y, signs)
+    good = fresh[:, 1] > 0.3
+    assert kept[~good].mean() <= 0.1 and kept[good].mean() >= 0.98
+
+
 def test_trees_keep_monotone_order():
     rng = np.random.default_rng(1)
-    x = rng.random((600, 2))
-    y = ((x[:, 0] + 0.1 * rng.standard_normal(600)) > 0.5).astype(float)
-    trees = gbt.fit(x, y, np.array([1, 0]))
+    x = rng.random((1200, 2))
+    y = ((x[:, 0] + 0.1 * rng.standard_normal(1200)) > 0.5).astype(float)
+    trees = gbt.fit(x[:600], y[:600], np.array([1, 0]))
     grid = np.stack([np.linspace(0, 1, 200), np.full(200, 0.4)], axis=1)
     assert (np.diff(trees.margin(grid)) >= -1e-12).all()
-    assert ((trees.probability(x) > 0.5) == (y > 0.5)).mean() > 0.85
+    assert ((trees.probability(x[600:]) > 0.5) == (y[600:] > 0.5)).mean() > 0.85
 
 
 def test_language_held_out_accuracy(spark, documents):
@@ -228,25 +256,84 @@ def test_bpe_query_digests(spark, texts):
 @pytest.mark.parametrize("units", [1, 2, 7, 8, 9, 4096, 4097])
 def test_jpeg_round_trip(units):
     raw = np.random.default_rng(units).integers(0, 256, 192 * units, dtype=np.uint8).tobytes()
-    payload, n, feature = media.read_jpeg(media.encode_jpeg(raw, len(raw) - 5))
+    [(payload, n, feature)] = media.read_jpegs(media.encode_jpegs([raw], [len(raw) - 5]))
     assert (payload, n) == (raw, len(raw) - 5)
     assert feature.startswith(f"{8 * min(units, 4096)}x")
 
 
-def test_jpeg_serial_decoder_agrees_with_bulk():
-    image = media.parse_markers(media.encode_jpeg(bytes(range(192)) * 5, 960))
-    of = {c[0]: c for c in image["components"]}
-    comps = [(of[c], image["huff"][d], image["huff"][0x10 | a]) for c, d, a in image["scan"]]
-    for a, b in zip(media.serial_blocks(image, comps, 5), media.decode_scan(image), strict=True):
-        assert (a == b).all()
+def test_jpegs_of_a_group_with_runs_and_restart_intervals(monkeypatch):
+    rnd = np.random.default_rng(4)
+    made = [b"e" * 384, b"\xff" * 192, b" " * 960, bytes([101] * 191 + [7]), b"a" + b"e" * 17 + b"\xe5" * 174, *(rnd.integers(90, 130, 192 * k, dtype=np.uint8).tobytes() for k in range(1, 40))]
+    for units in (1, 3, 100):
+        monkeypatch.setattr(media, "RESTART", units)
+        assert [x[0] for x in media.read_jpegs(media.encode_jpegs(made, [1] * len(made)))] == made
+
+
+def test_jpeg_damage_is_an_error():
+    [whole] = media.encode_jpegs([bytes(range(192)) * 4], [768])
+    at = whole.index(b"\xff\xd1")
+    for bad in (whole[:at] + whole[at + 2 :], whole[:at] + b"\xff\xd2" + whole[at + 2 :], whole[: at - 40] + whole[at:], b"GIF"):
+        with pytest.raises(ValueError):
+            media.read_jpegs([bad])
+
+
+def java_image(spark, width, height, bytes_or_pixels):
+    """A file as the JVM's own codec writes it, or the samples it reads, component by component."""
+    jvm, io = spark._jvm, spark._jvm.javax.imageio.ImageIO
+    if isinstance(bytes_or_pixels, bytes):
+        reader = io.getImageReadersByFormatName("jpeg").next()
+        reader.setInput(io.createImageInputStream(jvm.java.io.ByteArrayInputStream(bytes_or_pixels)))
+        raster = reader.readRaster(0, None)
+        band = spark.sparkContext._gateway.new_array(jvm.int, width * height)
+        return [np.array(list(raster.getSamples(0, 0, width, height, k, band))).reshape(height, width) for k in range(3)]
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for (y, x), v in np.ndenumerate(bytes_or_pixels):
+        image.setRGB(x, y, int(v) * 0x10101)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert io.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_foreign_jpeg_thumbnail(spark):
+    """Subsampled, without restart markers, other tables, sides that are no multiples of a block."""
+    y, x = np.mgrid[0:37, 0:70]
+    pixels = 30 + 2 * x + y + 9 * ((x // 3 + y // 5) % 2)
+    image = media.parse_markers(java_image(spark, 70, 37, pixels))
+    assert len({c[:2] for c in image["components"].values()}) == 2 and image["scans"][0]["restart"] == 0
+    small = media.thumbnail(image, media.decode_scans([image])[0]).astype(int)
+    means = pixels[:32, :64].reshape(4, 8, 8, 8).mean(axis=(1, 3))
+    assert np.abs(small[:4, :8] - means).max() <= 2
+
+
+def test_own_jpeg_read_by_another_codec(spark):
+    raw = (b"eeeeghabcdefgggghfeeeddcba" * 90)[: 192 * 10]
+    [whole] = media.encode_jpegs([raw], [len(raw)])
+    image = media.parse_markers(whole)
+    small = media.thumbnail(image, media.decode_scans([image])[0])
+    for band, k in zip(java_image(spark, 80, 8, whole), range(3), strict=True):
+        means = band.reshape(1, 8, 10, 8).mean(axis=(1, 3))[0]
+        first = np.frombuffer(raw, np.uint8).reshape(10, 3, 64)[:, k, 0].astype(int) - 101
+        assert np.abs(means - 128 - first).max() <= 1.5
+        assert k or (small[0] == 128 + first).all()
 
 
 def test_media_query(spark, texts):
-    for r in media.op6_media(spark, SF).collect():
+    rows = media.op6_media(spark, SF).collect()
+    for r in rows:
         raw = texts[r["doc_id"]].encode()
         raw_padded = raw + b" " * (-len(raw) % 192)
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(raw_padded), zlib.crc32(raw_padded[-16:]))
         assert r["payload_sha256"] == hashlib.sha256(raw_padded).hexdigest()
+    for r in rows[:60]:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b" " * (-len(raw) % 192)
+        [whole] = media.encode_jpegs([payload], [len(raw)])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
+        pixels = np.frombuffer(payload, np.uint8)[::192].astype(int) - 101  # the first byte of each unit
+        pixels = (np.where(pixels > 127, pixels - 256, pixels) + 128).astype(np.uint8)[None]
+        grid = pixels[np.zeros(8, int)][:, np.arange(9) * pixels.shape[1] // 9].astype(int)
+        bits = "".join(str(int(b > a)) for line in grid for a, b in zip(line, line[1:]))
+        assert r["feature"] == f"{8 * pixels.shape[1]}x8:{int(bits, 2):016x}:{hashlib.sha256(pixels.tobytes()).hexdigest()[:16]}"
 
 
 def test_warc_round_trip(spark, tmp_path):
