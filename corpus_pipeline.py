@@ -2,7 +2,7 @@
 near duplicates stays, secrets are masked, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before has kept, and all but the last return the
-columns of docs.  Nulls, empty texts, repeated rows and empty tables have the results that each operator defines.
+columns of docs, whatever their names.  Nulls, empty texts, repeated rows and empty tables have the results that each operator defines.
 """
 
 from __future__ import annotations
@@ -14,18 +14,28 @@ from quillon.llm import langid, ngram_join, packing, quality, secrets
 from quillon.llm.common import materialise, read_table, ship
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one: no operator's result can meet a column of the same name."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_all"), "text")
+
+
+def back(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, out of rows set aside."""
+    return kept.select("_all.*", "text").select(*docs.columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees keep."""
     ship(spark)
     trees, bar = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.judge(docs, trees, bar, with_text=True).where("kept").select(*docs.columns)
+    return back(quality.judge(aside(docs), trees, bar, with_text=True).where("kept"), docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a distance under the floor; learned from the labelled ones among them."""
     ship(spark)
     model = langid.train(docs)
-    return langid.identify(docs, model, with_text=True).where("not rejected").select(*docs.columns)
+    return back(langid.identify(aside(docs), model, with_text=True).where("not rejected"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
