@@ -1,24 +1,27 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Model.  Symbols are the SHORTLIST most frequent tokens and, for all other tokens, classes by their last SUFFIX bytes.
-A symbol's score after a context symbol is the product of their vectors plus a bias; a softmax over all symbols
-normalises it.  A token of a class has the class's probability times its share there; of a class's mass, the share of
-its tokens seen once is left to tokens never seen (Good-Turing).  So the probabilities of all known tokens and of
-unseen tokens by class sum to 1 after any context.  The context is one symbol, which makes the table of bigram counts
-a sufficient statistic: SYMBOLS x SYMBOLS numbers at most, whatever the size of the corpus.
-
-Training is by noise-contrastive estimation in numpy.  As the counts of the whole training corpus are at hand, the
-estimator's objective is used in expectation over the noise (unigram, NOISE samples a token) instead of by sampling.
-Scoring: the normalised log-probabilities of all symbols come from matrix products over batches of contexts, once in a
-worker; a text's score adds up table entries.
+Model.  Symbols are the most frequent tokens and, for all other tokens, classes by their last SUFFIX bytes; their number
+grows with the corpus (`symbol_bits`).  The symbols at the POSITIONS places before predict the next one (`lbl`).  A token
+of a class has the class's probability times its share there; of a class's mass, the share of its tokens seen once is
+left to tokens never seen (Good-Turing).  So the probabilities of all known tokens and of unseen tokens by class sum to 1
+after any context.
+
+Training is by noise-contrastive estimation in numpy, with sampled noise.  A first model is fitted to about SAMPLE_TOKENS
+tokens on the driver, EPOCHS times over.  Then every task goes on from it over all texts of its part of the corpus, and
+the tasks' vectors are averaged, each row by how often its symbol occurred in the task: sums of SUM_PARTS models at a time,
+so that no task or driver holds more.  What is learned from thus grows with the corpus, as do the token counts.
+Scoring: the normalised log-probabilities come from matrix products over batches of places.
 
 Counts of tokens outside the FREQUENT most frequent ones, which are shared with all executors, are joined by token
 over a shuffle; no count is left out.  A null text is the empty text: its one token is the end.  Rows are scored one by
-one, repeated ids too; a null id is in the training part.  Without training documents all tokens are unknown.
+one, repeated ids too; a null id is in the training part.  Tokens that tie in count are ordered by their bytes.  Without
+training documents all tokens are unknown.  Carried columns with the names of results are left out; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,16 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import lbl
 from quillon.llm.common import carried, held_out, map_arrow, materialise, read_table, text_groups
 
-SHORTLIST, SYMBOLS = 1536, 2048
 FREQUENT = 60_000
 #: A longer token is counted and scored like any other, but never held on all executors.
 FREQUENT_BYTES = 1024
 SUFFIX = 3
-WIDTH, NOISE, ROUNDS, RATE = 48, 25, 120, 0.05
-#: Weight of the squared vectors against the objective, which is a sum over tokens.
-RIDGE = 5.0
+#: The least and the most symbols behind the head, as powers of two.
+LEAST_BITS, MOST_BITS = 11, 14
+#: Tokens that the first model is fitted to; of a text with more than LONG_TOKENS, pieces of PIECE tokens are drawn.
+SAMPLE_TOKENS, EPOCHS, LONG_TOKENS, PIECE = 500_000, 6, 65_536, 1024
+#: Places in a step of training, on the driver and in tasks; models that are summed up at once.
+FIRST_BATCH, TASK_BATCH, SUM_PARTS = 4096, 16_384, 16
 #: Distinct tokens that a task counts before it passes the counts on.
 HELD = 200_000
 END = b""
@@ -71,7 +77,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """What scoring knows of the corpus: bounded by FREQUENT and SYMBOLS."""
+    """What scoring knows of the corpus: bounded by FREQUENT and the number of symbols."""
 
     total: int
     distinct: int
@@ -101,8 +107,14 @@ class Lexicon:
         """log10 of the part of a class's probability that a single occurrence of a known token stands for."""
         return np.log10((1 - self.unseen()) / np.maximum(self.mass, 1))
 
+    def symbol_counts(self) -> np.ndarray:
+        """Training tokens of each symbol."""
+        out = self.mass.copy()
+        out[: self.shortlist] = self.count[: self.shortlist] if len(self.frequent) >= self.shortlist else np.pad(self.count[:-1], (0, self.shortlist - len(self.frequent)))
+        return out
+
     def symbol_of(self, token: bytes) -> int:
-        return self.suffixes.get(token[-SUFFIX:], SYMBOLS - 1)
+        return self.suffixes.get(token[-SUFFIX:], len(self.mass) - 1)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places in the arrays (-1: none), symbols, and the words without a place."""
@@ -114,120 +126,133 @@ class Lexicon:
         return place, symbols, rest
 
 
+def symbol_bits(total: int) -> int:
+    """Symbols grow with the square root of the number of tokens."""
+    return min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(total, 1)) / 2 - 1)))
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     """From token counts; only bounded tables reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    symbols = lbl.symbols_for(symbol_bits(total))
+    shortlist = lbl.HEAD + 3 * (symbols - lbl.HEAD) // 4
     top = counts.where(F.octet_length("token") <= FREQUENT_BYTES).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().to_pydict()
     words = sorted(zip(top["token"], top["n"], strict=True), key=lambda x: (-x[1], x[0]))
     words = [x for x in words if x[0] == END] + [x for x in words if x[0] != END]
-    short = words[:SHORTLIST]
-    listed = F.col("token").isin([bytearray(w) for w, _ in short]) if short else F.lit(False)
+    short = words[:shortlist]
+    listed = counts.sparkSession.createDataFrame([(bytearray(w),) for w, _ in short], "token binary")
     suffix = F.expr(f"if(octet_length(token) > {SUFFIX}, substring(token, -{SUFFIX}, {SUFFIX}), token)")
     sums = [F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")]
-    classes = counts.where(~listed).groupBy(suffix.alias("suffix")).agg(*sums)
-    best = classes.orderBy(F.desc("n"), "suffix").limit(SYMBOLS - SHORTLIST - 1).collect()
-    rest_n, rest_once = counts.where(~listed).agg(*(F.coalesce(c, F.lit(0)) for c in sums)).first()
-    mass, once = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+    others = counts.join(F.broadcast(listed), "token", "left_anti")
+    best = others.groupBy(suffix.alias("suffix")).agg(*sums).orderBy(F.desc("n"), "suffix").limit(symbols - shortlist - 1).collect()
+    rest_n, rest_once = others.agg(*(F.coalesce(c, F.lit(0)) for c in sums)).first()
+    mass, once = np.zeros(symbols), np.zeros(symbols)
     suffixes = {}
     for k, r in enumerate(best):
-        suffixes[bytes(r["suffix"])] = SHORTLIST + k
-        mass[SHORTLIST + k], once[SHORTLIST + k] = r["n"], r["once"]
+        suffixes[bytes(r["suffix"])] = shortlist + k
+        mass[shortlist + k], once[shortlist + k] = r["n"], r["once"]
     mass[-1], once[-1] = rest_n - mass.sum(), rest_once - once.sum()
-    symbol = [k if k < len(short) else suffixes.get(w[-SUFFIX:], SYMBOLS - 1) for k, (w, _) in enumerate(words)]
+    symbol = [k if k < len(short) else suffixes.get(w[-SUFFIX:], symbols - 1) for k, (w, _) in enumerate(words)]
     return Lexicon(
-        total, distinct, {w: k for k, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [0], float), np.array([*symbol, SYMBOLS - 1], np.int64), suffixes, SHORTLIST, mass, once
+        total, distinct, {w: k for k, (w, _) in enumerate(words)}, np.array([n for _, n in words] + [0], float), np.array([*symbol, symbols - 1], np.int64), suffixes, shortlist, mass, once
     )
 
 
-def bigram_counts(docs: DataFrame, known) -> DataFrame:
-    """key = context symbol * SYMBOLS + symbol, n; a text's first context is the end symbol.  known: broadcast Lexicon."""
+def group_symbols(lex: Lexicon, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, and how many each has."""
+    each = [tokens(t) for t in texts]
+    return lex.look_up([w for ws in each for w in ws])[1], np.fromiter(map(len, each), np.int64, len(each))
+
+
+def sample(docs: DataFrame, known, share: float) -> list[np.ndarray]:
+    """Symbols of a share of the texts; of a long text, pieces.  known: broadcast Lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SYMBOLS * SYMBOLS, np.int32)
-        lex = known.value
+        rng = np.random.default_rng([11, TaskContext.get().partitionId()])
         for batch in batches:
             for _, texts in text_groups(batch):
-                words = [END]
-                for t in texts:
-                    words += tokens(t)
-                _, symbols, _ = lex.look_up(words)
-                table += np.bincount(symbols[:-1] * SYMBOLS + symbols[1:], minlength=len(table)).astype(np.int32)
-        used = np.flatnonzero(table)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part].astype(np.int64))], names=["key", "n"])
+                symbols, lengths = group_symbols(known.value, texts)
+                out = []
+                for s in np.split(symbols.astype(np.int32), np.cumsum(lengths)[:-1]):
+                    pieces = [s] if len(s) <= LONG_TOKENS else [s[k : k + PIECE] for k in range(0, len(s), PIECE) if rng.random() < LONG_TOKENS / len(s)]
+                    out += [p.tobytes() for p in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
 
-    return map_arrow(docs, ["text"], run, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    chosen = docs.where(F.rand(5) < share) if share < 1 else docs
+    found = map_arrow(chosen, ["text"], run, "symbols binary").toArrow().column("symbols").to_pylist()
+    return [np.frombuffer(x, np.int32) for x in found]
 
 
-@dataclass
-class LogBilinear:
-    context: np.ndarray  # SYMBOLS x WIDTH
-    target: np.ndarray
-    bias: np.ndarray
-
-    def log_probabilities(self, batch: int = 256) -> np.ndarray:
-        """log10 of each symbol's probability after each context: a matrix product for each batch of contexts."""
-        out = np.empty((len(self.context), len(self.target)), np.float32)
-        for at in range(0, len(out), batch):
-            scores = self.context[at : at + batch] @ self.target.T + self.bias
-            top = scores.max(axis=1, keepdims=True)
-            out[at : at + batch] = (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
+def first_model(texts: list[np.ndarray], counts: np.ndarray) -> tuple[lbl.Model, list[np.ndarray]]:
+    """A model fitted to texts of symbols, and the trainer's sums of squares."""
+    model = lbl.Model.unigram(counts)
+    trainer = lbl.Trainer(model, counts, seed=3)
+    rng = np.random.default_rng(5)
+    for _ in range(EPOCHS if texts else 0):
+        mixed = [texts[k] for k in rng.permutation(len(texts)).tolist()]
+        trainer.learn(*lbl.pad(np.concatenate(mixed), np.array([len(t) for t in mixed])), FIRST_BATCH)
+    return model, trainer.squares
 
 
-def train(counts: np.ndarray, width: int = WIDTH, noise: int = NOISE, rounds: int = ROUNDS, rate: float = RATE, ridge: float = RIDGE) -> LogBilinear:
-    """Noise-contrastive estimation from a matrix of bigram counts (context, symbol), by Adam on the expected objective.
-
-    A pair (h, w) is data n(h, w) times and noise `noise` * n(h) * q(w) times, q being the unigram distribution; the
-    model tells them apart by score(h, w) - log(noise * q(w)).
-    """
-    used = np.flatnonzero(counts.sum(axis=0) + counts.sum(axis=1))
-    if 0 < len(used) < len(counts):  # symbols that the corpus lacks keep a bias far below the others'
-        part = train(counts[np.ix_(used, used)], width, noise, rounds, rate, ridge)
-        whole = LogBilinear(np.zeros((len(counts), width), np.float32), np.zeros((len(counts), width), np.float32), np.full(len(counts), part.bias.min() - 5, np.float32))
-        whole.context[used], whole.target[used], whole.bias[used] = part.context, part.target, part.bias
-        return whole
-    size = len(counts)
-    of_context, of_symbol = counts.sum(axis=1), counts.sum(axis=0)
-    q = ((of_symbol + 0.1) / (of_symbol.sum() + 0.1 * size)).astype(np.float32)
-    rng = np.random.default_rng(7)
-    params = [(rng.standard_normal((size, width)) * 0.1).astype(np.float32) for _ in range(2)] + [np.log(q)]
-    scale = np.float32(1 / max(of_context.sum(), 1))
-    data = (counts * scale).astype(np.float32)
-    odds = np.log(noise * q)
-    noises = (noise * of_context * scale).astype(np.float32)
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    grads = [np.zeros_like(p) for p in params]
-    for step in range(1, rounds + 1):
-        context, target, bias = params
-        grads[1][:] = 0
-        grads[2][:] = 0
-        for at in range(0, size, 256):
-            rows = slice(at, at + 256)
-            true = 1 / (1 + np.exp(-np.clip(context[rows] @ target.T + (bias - odds), -30, 30)))
-            pull = data[rows] * (1 - true) - (noises[rows, None] * q) * true
-            grads[0][rows] = pull @ target
-            grads[1] += pull.T @ context[rows]
-            grads[2] += pull.sum(axis=0)
-        grads[0] -= ridge * scale * context
-        grads[1] -= ridge * scale * target
-        speed = rate * (1 - (step - 1) / rounds) + 1e-3
-        for p, g, m, v in zip(params, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p += speed * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-    return LogBilinear(*params)
-
-
-_table: list = [None, None]
-
-
-def model_table(model: LogBilinear) -> np.ndarray:
-    """The table of a broadcast model, made once in each worker."""
-    if _table[0] is not model:
-        _table[:] = model, model.log_probabilities()
-    return _table[1]
+def blocks(model: lbl.Model) -> list[np.ndarray]:
+    """The model's rows by what they belong to: symbols, groups and positions."""
+    return [np.hstack([model.context, model.target, model.bias[:, None]]), np.hstack([model.group, model.group_bias[:, None]]), model.position]
+
+
+PARTS = "part int, weights binary, sums binary"
+
+
+def train_parts(docs: DataFrame, known, start) -> DataFrame:
+    """A row for each task: how often each row of the model counts, and its rows times that.  start: broadcast of the
+    model and the sums of squares that every task begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, part = known.value, TaskContext.get().partitionId()
+        counts, seen = lex.symbol_counts(), np.zeros(len(lex.mass), np.int64)
+        model, squares = start.value[0].copy(), [s.copy() for s in start.value[1]]
+        trainer = lbl.Trainer(model, counts, seed=100 + part, squares=squares)
+        for batch in batches:
+            for _, texts in text_groups(batch):
+                symbols, lengths = group_symbols(lex, texts)
+                seen += np.bincount(symbols, minlength=len(seen))
+                trainer.learn(*lbl.pad(symbols, lengths), TASK_BATCH)
+        weights = [seen, model.shape.by_group(seen)[0], np.full(lbl.POSITIONS, seen.sum())]
+        if seen.any():
+            sums = np.concatenate([(w[:, None] * b).reshape(-1) for w, b in zip(weights, blocks(model), strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([np.concatenate(weights).astype(np.float64).tobytes()], pa.binary()), pa.array([sums.astype(np.float32).tobytes()], pa.binary())],
+                names=["part", "weights", "sums"],
+            )
+
+    return map_arrow(docs, ["text"], run, PARTS)
+
+
+def add_parts(table: pa.Table) -> pa.Table:
+    weights = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("weights"))
+    sums = sum(np.frombuffer(x.as_py(), np.float32) for x in table.column("sums"))
+    part = table.column("part")[0].as_py() // SUM_PARTS
+    return pa.table({"part": pa.array([part], pa.int32()), "weights": pa.array([weights.tobytes()], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def mean_model(first: lbl.Model, parts: DataFrame) -> lbl.Model:
+    """The mean of the tasks' models, row by row; rows that no task counted stay as they are in the first model."""
+    parts = materialise(parts, "lm-parts")
+    while parts.count() > 1:
+        parts = materialise(parts.groupBy((F.col("part") / SUM_PARTS).cast("int").alias("to")).applyInArrow(add_parts, PARTS), "lm-parts")
+    rows = parts.collect()
+    if not rows:
+        return first
+    weights, sums = np.frombuffer(rows[0]["weights"], np.float64), np.frombuffer(rows[0]["sums"], np.float32)
+    out, at, row = [], 0, 0
+    for b in blocks(first):
+        w = weights[row : row + len(b), None]
+        mean = sums[at : at + b.size].reshape(b.shape) / np.maximum(w, 1)
+        out.append(np.where(w > 0, mean, b).astype(np.float32))
+        at, row = at + b.size, row + len(b)
+    symbols, groups, position = out
+    width = lbl.WIDTH
+    copy = np.ascontiguousarray
+    return lbl.Model(copy(symbols[:, :width]), position, copy(groups[:, :width]), copy(groups[:, width]), copy(symbols[:, width : 2 * width]), copy(symbols[:, -1]))
 
 
 @dataclass
@@ -243,11 +268,10 @@ def fit(docs: DataFrame) -> Scorer:
     """Learn from all texts of docs."""
     sc = docs.sparkSession.sparkContext
     counts = materialise(token_counts(docs), "lm-counts")
-    known = sc.broadcast(lexicon(counts))
-    pairs = bigram_counts(docs, known).toArrow()
-    table = np.zeros(SYMBOLS * SYMBOLS, np.float32)
-    table[pairs["key"].to_numpy()] = pairs["n"].to_numpy()
-    return Scorer(counts, known, sc.broadcast(train(table.reshape(SYMBOLS, SYMBOLS))))
+    lex = lexicon(counts)
+    known = sc.broadcast(lex)
+    first, squares = first_model(sample(docs, known, min(1.0, SAMPLE_TOKENS / max(lex.total, 1))), lex.symbol_counts())
+    return Scorer(counts, known, sc.broadcast(mean_model(first, train_parts(docs, known, sc.broadcast((first, squares))))))
 
 
 def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
@@ -263,7 +287,7 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
     kind = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, table = known.value, model_table(model.value)
+        lex = known.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows, texts in text_groups(batch):
@@ -272,9 +296,9 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
                 words = [w for ws in each for w in ws]
                 place, symbols, rest = lex.look_up(words)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                before = np.concatenate([[lex.symbol[lex.frequent[END]] if END in lex.frequent else 0], symbols[:-1]])
                 found = place >= 0
-                score = table[before, symbols] + np.where(found, lex.within[place], 0.0)
+                flat, real = lbl.pad(symbols, lengths)
+                score = model.value.log_probabilities(flat, real)[real] / math.log(10) + np.where(found, lex.within[place], 0.0)
                 base = np.where(found, lex.base[place], 0.0)
                 bounds = np.concatenate([[0], np.cumsum(np.add.reduceat(~found, starts, dtype=np.int64))])
                 own_symbols = symbols[~found]
@@ -301,18 +325,18 @@ def score(docs: DataFrame, fitted: Scorer, carry: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "row_id", "n_tokens", "n_known", "base_score", "score", "tail"])
 
     partial = materialise(map_arrow(docs, ["row", "text"], run, f"row {kind}, {fields}"), "lm-partial")
-    shares = F.array(*map(F.lit, lex.known_share().tolist()))
-    unseen = F.array(*map(F.lit, np.log10(lex.unseen()).tolist()))
+    # A row for each symbol, MOST_BITS of them at most.
+    shares = zip(range(len(lex.mass)), lex.known_share().tolist(), np.log10(lex.unseen()).tolist())
+    shares = docs.sparkSession.createDataFrame(list(shares), "symbol int, share double, unseen double")
     tail = partial.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.*")
     counts = fitted.counts.select("token", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))
-    at = F.col("symbol") + 1
     rest = (
-        tail.join(counts, "token", "left")
+        tail.join(counts, "token", "left").join(F.broadcast(shares), "symbol")
         .groupBy("row_id")
         .agg(
             F.sum(F.col("n") * F.log10((c + 0.5) / lex.denominator)).alias("more_base"),
-            F.sum(F.col("n") * F.when(c > 0, F.log10(c) + F.element_at(shares, at)).otherwise(F.element_at(unseen, at))).alias("more_score"),
+            F.sum(F.col("n") * F.when(c > 0, F.log10(c) + F.col("share")).otherwise(F.col("unseen"))).alias("more_score"),
             F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
         )
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, gbt, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc
+from quillon.llm import bpe, gbt, langid, lbl, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -73,15 +73,84 @@ def test_lm_scores_match_counting_and_normalise(spark, documents, texts):
     assert np.mean(better) > 0.9
 
 
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((lm_scoring.SYMBOLS, lm_scoring.SYMBOLS), np.float32)
-    counts[:40, :40] = rng.integers(0, 9, (40, 40))
-    counts[3, 4] = 500
-    model = lm_scoring.train(counts)
-    table = 10.0 ** model.log_probabilities()
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
-    assert table[3, 4] > 0.5 > table[5, 4]
+def test_lm_token_probabilities_sum_to_one(spark, documents):
+    """After a context: all known tokens, and what each symbol leaves to tokens never seen."""
+    fitted = lm_scoring.fit(documents.select("text").limit(60))
+    lex, model = fitted.lexicon.value, fitted.model.value
+    counts = {bytes(r["token"]): r["n"] for r in fitted.counts.collect()}
+    known = lex.known_share()
+    within = np.where(np.arange(len(lex.mass)) < lex.shortlist, 0.0, lex.unseen())
+    for w, n in counts.items():
+        place = lex.frequent.get(w)
+        s = lex.symbol[place] if place is not None else lex.symbol_of(w)
+        within[s] += 1 if s < lex.shortlist else n * 10.0 ** known[s]
+    for context in ([0, 0, 0], [5, 9, 40], [200, 3, 77]):
+        flat = np.array([[*context, s] for s in range(len(lex.mass))], np.int32)
+        real = np.zeros(flat.shape, bool)
+        real[:, 3] = True
+        chance = np.exp(model.log_probabilities(flat.reshape(-1), real.reshape(-1)).reshape(-1, 4)[:, 3].astype(float))
+        assert abs(chance.sum() - 1) < 1e-4 and abs((chance * within).sum() - 1) < 1e-3
+
+
+def dense_log_probabilities(m, text):
+    """By the definition, place by place."""
+    out, before = [], [0, 0, 0]
+    for s in text:
+        h = sum(m.context[w] * c for w, c in zip(before[::-1], m.position))
+        groups = np.exp(m.group @ h + m.group_bias)
+        g = int(m.shape.group_of(np.array(s)))
+        value = np.log(groups[g] / groups.sum())
+        if s >= lbl.HEAD:
+            inside = np.exp(m.target[m.shape.rows(g)] @ h + m.bias[m.shape.rows(g)])
+            value += np.log(inside[s - m.shape.rows(g).start] / inside.sum())
+        out.append(value)
+        before = [*before[1:], s]
+    return out
+
+
+def test_lm_products_match_the_definition(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, lbl.symbols_for(8), n) for n in (1, 2, 50, 0, 300)]
+    model = lbl.Model.unigram(np.bincount(np.concatenate(texts), minlength=lbl.symbols_for(8)) + 1.0)
+    flat, real = lbl.pad(np.concatenate(texts), np.array([len(t) for t in texts]))
+    want = np.concatenate([dense_log_probabilities(model, t) for t in texts])
+    for window in (7, 64, 10_000):
+        assert np.allclose(model.log_probabilities(flat, real, window)[real], want, atol=1e-3)
+    model.group *= 1e4  # scores far beyond what single precision can exponentiate
+    assert np.isfinite(model.log_probabilities(flat, real)).all()
+
+
+def test_lm_learns_what_two_words_before_say():
+    """The third of three words depends on the first; no context of one word can tell."""
+    rng = np.random.default_rng(3)
+    symbols = lbl.symbols_for(8)
+    made = lambda n: np.concatenate([[a, 9, a + 100, 0] for a in rng.integers(40, 60, n)])
+    train, test = made(6000), made(200)
+    counts = np.bincount(train, minlength=symbols).astype(float)
+    model, _ = lm_scoring.first_model(np.split(train, 100), counts)
+    flat, real = lbl.pad(test, np.full(200, 4))
+    got = model.log_probabilities(flat, real)[real].reshape(-1, 4)
+    assert np.exp(got[:, 2]).mean() > 0.5 and abs(np.exp(got[:, 0]).mean() - 0.05) < 0.02
+
+
+def test_lm_parts_are_summed_in_steps(spark, documents, monkeypatch):
+    docs = documents.select("text").limit(100).repartition(23)
+    monkeypatch.setattr(lm_scoring, "SUM_PARTS", 3)
+    fitted = lm_scoring.fit(docs)
+    known, model = fitted.lexicon, fitted.model.value
+    start = spark.sparkContext.broadcast((model, [np.ones(len(a), np.float32) for a in model.arrays()]))
+    rows = lm_scoring.materialise(lm_scoring.train_parts(docs, known, start), "parts")
+    weights = sum(np.frombuffer(r["weights"], np.float64) for r in rows.collect())
+    sums = sum(np.frombuffer(r["sums"], np.float32).astype(float) for r in rows.collect())
+    assert (weights[: len(known.value.mass)] == known.value.symbol_counts()).all()
+    want = sums[: len(known.value.mass) * 65].reshape(-1, 65)[:, :32] / np.maximum(weights[: len(known.value.mass), None], 1)
+    used = weights[: len(known.value.mass)] > 0
+    assert np.allclose(lm_scoring.mean_model(model, rows).context[used], want[used], atol=1e-4)
+
+
+def test_lm_symbols_grow_with_the_corpus():
+    bits = [lm_scoring.symbol_bits(2**k) for k in range(50)]
+    assert bits == sorted(bits) and bits[0] == lm_scoring.LEAST_BITS and bits[-1] == lm_scoring.MOST_BITS and len(set(bits)) == 4
 
 
 def jaccard_links(texts):
