@@ -3,18 +3,20 @@
 Base.  Assignments to names such as `password`, access keys, and long hexadecimal runs, by their written forms.
 
 Method: two Markov models of characters, one of random strings and one of ordinary identifiers, compared by their log-
-likelihood ratio.  Runs of RUN or more characters of ALPHABET are the identifiers of a corpus.  The labelled samples
-are: values of base spans (random), and runs outside base spans with under ORDINARY_DIGITS digits a character
-(ordinary).  Counts of character pairs cover all documents; they are a table of alphabet x alphabet numbers.  The
-random model is mixed evenly with equal chances of all characters, as a secret needn't look like those already known.
-A run with letters and digits that overlaps no base span is added, as kind `random`, if its mean ratio a character is
-BAR or more.  Without samples of both labels nothing is added.
+likelihood ratio.  Runs of RUN or more characters of ALPHABET, in what base spans leave of a text, are the identifiers of
+a corpus.  The labelled samples are: values of base spans (random), and runs with under ORDINARY_DIGITS digits a character
+or without letters, as dates and numbers are (ordinary).  Counts of character pairs cover all documents; they are a table of alphabet x alphabet numbers.  The random
+model is mixed with equal chances of all characters, and of all characters of the last one's kind (small letters,
+capitals, digits), as a secret needn't look like those already known.  A run of any characters is added, as kind `random`,
+if its ratio is ODDS or more, so that a short run must differ more at each character than a long one, and if its mean
+ratio a character is BAR or more.  Without samples of both labels nothing is added.
 
 Positions come from the gaps between matches: `split` and `regexp_extract_all` see the same leftmost matches, and a
-running sum over a text's matches gives code points.
+running sum over a text's matches gives code points.  Sums are taken of texts that have a match to report alone.
 
-A null text is the empty text and has no spans.  Rows are judged one by one, repeated ids too; other columns are
-carried along.
+A null or empty text has no spans; an empty table gives no rows.  Rows are judged one by one, repeated ids too.  Spans
+that begin at the same place are in the order of KINDS.  Other columns are carried along, but those with the names of
+results are left out.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = 16
+KIND_OF = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
+RUN = 8
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
-ORDINARY_DIGITS, BAR = 0.25, 0.7
+ORDINARY_DIGITS, ODDS, BAR = 0.25, 14.0, 0.4
 #: Occurrences that a character's own chance counts for beside those of a pair.
-LEAN = 4.0
+LEAN = 32.0
 MASK = "[SECRET]"
 
 
@@ -50,31 +53,50 @@ def matches(text: Column, kind: int, form: str, group: int, possible: Column) ->
 
 
 def forms(text: Column) -> list[tuple[str, Column]]:
-    """The form of each kind, and a cheap condition that texts without a match mostly fail."""
+    """The form of each base kind, and a cheap condition that texts without a match mostly fail."""
     small = F.lower(text)
     named = small.contains("passw") | small.contains("secret") | small.contains("token") | small.contains("api")
-    return [(ASSIGN, named), (ACCESS, text.contains("AKIA")), (HEX, text.rlike(HEX)), (RUNS, text.rlike(RUNS))]
+    return [(ASSIGN, named), (ACCESS, text.contains("AKIA")), (HEX, text.rlike(HEX))]
+
+
+def replaced(text: Column, kind: int, form: str, possible: Column, fill) -> Column:
+    """Text with fill(whole, value) in place of each match of a kind that meets its least length."""
+    whole, value = (F.regexp_extract_all(text, F.lit(form), F.lit(g)) for g in (0, 2 * (kind == 0)))
+    fills = F.zip_with(whole, value, lambda w, v: F.when(is_long(kind, v), fill(w, v)).otherwise(w))
+    parts = F.zip_with(F.split(text, form, -1), fills, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))
+    return F.when(possible, F.array_join(F.flatten(parts), "")).otherwise(text)
+
+
+def is_long(kind: int, value: Column) -> Column:
+    return F.char_length(value) >= [ASSIGN_LEAST, ACCESS_LEAST, 0][kind]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs: row (a struct) and text.  row, row_id, and the matches of each kind."""
+    """docs: row (a struct) and text.  row, row_id, the matches of each base kind, and the runs in what those leave."""
     text = F.coalesce("text", F.lit(""))
     found = [matches(text, kind, form, 2 * (kind == 0), possible) for kind, (form, possible) in enumerate(forms(text))]
-    return materialise(docs.select("row", F.monotonically_increasing_id().alias("row_id"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found")), "secrets-scan")
+    docs = docs.select("row", F.monotonically_increasing_id().alias("row_id"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"), text.alias("rest"))
+    for kind, (form, possible) in enumerate(forms(F.col("rest"))):
+        docs = docs.withColumn("rest", replaced(F.col("rest"), kind, form, possible, lambda w, _: F.repeat(F.lit(" "), F.char_length(w))))
+    runs = matches(F.col("rest"), len(KINDS) - 1, RUNS, 0, F.lit(True))
+    return materialise(docs.select("row", "row_id", "found", runs.alias("runs")), "secrets-scan")
 
 
-def spans(table: DataFrame) -> DataFrame:
-    """row_id, kind, s, e, value of every match that meets its kind's least length."""
-    by_kind = table.select("row_id", F.explode("found").alias("f")).where(F.size("f.whole") > 0)
+def spans(matched: DataFrame) -> DataFrame:
+    """row_id, kind, s, e, value of every match that meets its kind's least length.  matched: row_id and f."""
+    by_kind = matched.where(F.size("f.whole") > 0)
     zipped = F.arrays_zip(F.col("f.whole").alias("whole"), F.slice("f.gap", 1, F.size("f.whole")).alias("gap"), F.col("f.value").alias("value"))
     each = by_kind.select("row_id", "f.kind", F.posexplode(zipped).alias("i", "m")).select("row_id", "kind", "i", F.col("m.gap").alias("gap"), F.char_length("m.whole").alias("n"), F.col("m.value").alias("value"))
     until = Window.partitionBy("row_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("n")).over(until).cast("int")
-    size = F.char_length("value")
-    meets = F.when(F.col("kind") == 0, size >= ASSIGN_LEAST).when(F.col("kind") == 1, size >= ACCESS_LEAST).otherwise(True)
+    meets = F.when(F.col("kind") == 0, is_long(0, F.col("value"))).when(F.col("kind") == 1, is_long(1, F.col("value"))).otherwise(True)
     return each.select("row_id", "kind", (end - F.col("n")).alias("s"), end.alias("e"), "value").where(meets)
 
 
+def base_of(table: DataFrame) -> DataFrame:
+    return spans(table.select("row_id", F.explode("found").alias("f")))
+
+
 def digit_share(value: Column) -> Column:
     return 1 - F.char_length(F.translate(value, "0123456789", "")) / F.char_length(value)
 
@@ -104,31 +126,27 @@ def ratios(labelled: DataFrame) -> list[float]:
         rows = {k: t[a * size : (a + 1) * size] for k, t in tables.items()}
         for b in range(size):
             chance = {k: (r[b] + LEAN * single[k][b]) / (sum(r) + LEAN) for k, r in rows.items()}
-            out.append(math.log(0.5 * chance[True] + 0.5 / size) - math.log(chance[False]))
+            even = 0.25 / size + sum(0.25 / len(k) for k in KIND_OF if ALPHABET[a] in k and ALPHABET[b] in k)
+            out.append(math.log(0.5 * chance[True] + even) - math.log(chance[False]))
     return out
 
 
-def mean_ratio(value: Column, table: list[float]) -> Column:
+def total_ratio(value: Column, table: list[float]) -> Column:
     weights = F.array(*map(F.lit, table))
     place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    terms = F.transform(pairs(value), lambda p: F.element_at(weights, place(F.substring(p, 1, 1)) * len(ALPHABET) + place(F.substring(p, 2, 1)) + 1))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(terms), F.lit(1))
+    return F.aggregate(pairs(value), F.lit(0.0), lambda sum_, p: sum_ + F.element_at(weights, place(F.substring(p, 1, 1)) * len(ALPHABET) + place(F.substring(p, 2, 1)) + 1))
 
 
-def learn(all_spans: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Base spans by row_id, free runs (those that overlap no base span), and the log ratios learned from both."""
-    triple = F.struct("s", F.col("kind").alias("k"), "e")
-    base = all_spans.where("kind < 3").groupBy("row_id").agg(F.array_sort(F.collect_list(triple)).alias("base"))
-    runs = all_spans.where("kind = 3").join(base, "row_id", "left")
-    free = ~F.coalesce(F.exists("base", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s"))), F.lit(False))
-    runs = materialise(runs.where(free).select("row_id", "s", "kind", "e", "value", digit_share(F.col("value")).alias("share")), "secrets-runs")
-    labelled = all_spans.where("kind < 3").select("value", F.lit(True).alias("random")).unionByName(runs.where(F.col("share") < ORDINARY_DIGITS).select("value", F.lit(False).alias("random")))
-    return base, runs, ratios(labelled)
+def is_random(value: Column, table: list[float]) -> Column:
+    """A run that the models take for random."""
+    return total_ratio(value, table) >= F.greatest(F.lit(ODDS), BAR * (F.char_length(value) - 1))
 
 
-def is_random(value: Column, table: list[float]) -> Column:
-    """A run with letters and digits that the models take for random."""
-    return (digit_share(value) > 0) & value.rlike("[A-Za-z]") & (mean_ratio(value, table) >= BAR)
+def learn(table: DataFrame) -> list[float]:
+    """The log ratios of character pairs, from scanned texts."""
+    values = base_of(table).select("value", F.lit(True).alias("random"))
+    runs = table.select(F.explode("runs.whole").alias("value")).where((digit_share(F.col("value")) < ORDINARY_DIGITS) | ~F.col("value").rlike("[A-Za-z]"))
+    return ratios(values.unionByName(runs.withColumn("random", F.lit(False))))
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
@@ -136,9 +154,11 @@ def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     new = ["n_assign", "n_access", "n_hex", "n_random", "base", "spans"]
     carry = [c for c in carry if c not in new]
     table = scan(docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text")))
-    base, runs, learned = learn(spans(table))
+    learned = learn(table)
     triple = F.struct("s", F.col("kind").alias("k"), "e")
-    fresh = runs.where(is_random(F.col("value"), learned)).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
+    base = base_of(table).groupBy("row_id").agg(F.array_sort(F.collect_list(triple)).alias("base"))
+    some = table.where(F.exists("runs.whole", lambda v: is_random(v, learned)))
+    fresh = spans(some.select("row_id", F.col("runs").alias("f"))).where(is_random(F.col("value"), learned)).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
     joined = table.select("row", "row_id").join(base, "row_id", "left").join(fresh, "row_id", "left")
     none = F.array().cast("array<struct<s: int, k: int, e: int>>")
     joined = joined.select("row", F.coalesce("base", none).alias("base"), F.coalesce("fresh", none).alias("fresh"))
@@ -150,22 +170,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, all columns, with MASK in place of every secret: the value of an assignment, or the whole span otherwise.
 
     Forms are masked in the order of KINDS, each from the gaps and matches of what the ones before have left."""
-    _, _, learned = learn(spans(scan(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(text).alias("text")))))
-    value = F.col(text)
-    for kind, (form, possible) in enumerate(forms(F.coalesce(value, F.lit("")))):
-        whole, group = (F.regexp_extract_all(value, F.lit(form), F.lit(g)) for g in (0, 2 * (kind == 0)))
-        size = F.char_length
-        masked = [
-            lambda w, v: F.when(size(v) >= ASSIGN_LEAST, F.concat(F.left(w, size(w) - size(v)), F.lit(MASK))).otherwise(w),
-            lambda w, _: F.when(size(w) >= ACCESS_LEAST, F.lit(MASK)).otherwise(w),
-            lambda _, __: F.lit(MASK),
-            lambda w, _: F.when(is_random(w, learned), F.lit(MASK)).otherwise(w),
-        ][kind]
-        gaps, fills = F.split(value, form, -1), F.zip_with(whole, group, masked)
-        value = F.when(possible, F.array_join(F.flatten(F.zip_with(gaps, fills, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")).otherwise(value)
-        docs = docs.withColumn(text, value)
-        value = F.col(text)
-    return docs
+    learned = learn(scan(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(text).alias("text"))))
+    mask, size = F.lit(MASK), F.char_length
+    for kind, (form, possible) in enumerate(forms(F.coalesce(text, F.lit("")))):
+        fill = (lambda w, v: F.concat(F.left(w, size(w) - size(v)), mask)) if kind == 0 else (lambda _, __: mask)
+        docs = docs.withColumn(text, replaced(F.col(text), kind, form, possible, fill))
+    runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
+    fills = F.transform(runs, lambda w: F.when(is_random(w, learned), mask).otherwise(w))
+    parts = F.zip_with(F.split(text, RUNS, -1), fills, lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))
+    return docs.withColumn(text, F.when(F.exists(runs, lambda w: is_random(w, learned)), F.array_join(F.flatten(parts), "")).otherwise(F.col(text)))
 
 
 def spell(column: str) -> Column:
