@@ -39,8 +39,11 @@ KIND_OF = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567
 RUN = 8
 RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 ORDINARY_DIGITS, ODDS, BAR = 0.25, 14.0, 0.4
+#: Times that the models are fitted; after the first, runs with a ratio of DOUBT or more are no ordinary ones, as unlabelled
+#: secrets would teach the model of ordinary runs what secrets look like.
+ROUNDS, DOUBT = 3, 2.0
 #: Occurrences that a character's own chance counts for beside those of a pair.
-LEAN = 32.0
+LEAN = 8.0
 MASK = "[SECRET]"
 
 
@@ -146,7 +149,11 @@ def learn(table: DataFrame) -> list[float]:
     """The log ratios of character pairs, from scanned texts."""
     values = base_of(table).select("value", F.lit(True).alias("random"))
     runs = table.select(F.explode("runs.whole").alias("value")).where((digit_share(F.col("value")) < ORDINARY_DIGITS) | ~F.col("value").rlike("[A-Za-z]"))
-    return ratios(values.unionByName(runs.withColumn("random", F.lit(False))))
+    learned = None
+    for _ in range(ROUNDS):
+        ordinary = runs if learned is None else runs.where(total_ratio(F.col("value"), learned) < DOUBT)
+        learned = ratios(values.unionByName(ordinary.withColumn("random", F.lit(False))))
+    return learned
 
 
 def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
