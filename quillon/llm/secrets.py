@@ -121,16 +121,21 @@ def ratios(labelled: DataFrame) -> list[float]:
         tables[r["random"]][ALPHABET.index(r["pair"][0]) * size + ALPHABET.index(r["pair"][1])] = r["n"]
     if not all(map(any, tables.values())):
         return [0.0] * size**2
-    # A pair's chance leans on that of its second character, so that characters a sample lacks are unlikely there.
+    # A pair's chance leans on that of its second character, so that characters a sample lacks are unlikely there; for two
+    # capitals among ordinary runs, on that of the same small letters, as rare words in capitals are words too.
     single = {k: [sum(t[b::size]) for b in range(size)] for k, t in tables.items()}
     single = {k: [(n + 0.5) / (sum(c) + 0.5 * size) for n in c] for k, c in single.items()}
-    out = []
-    for a in range(size):
-        rows = {k: t[a * size : (a + 1) * size] for k, t in tables.items()}
+    out, chances = [0.0] * size**2, {}
+    for a in sorted(range(size), key=lambda a: ALPHABET[a].isupper()):  # capitals last: they lean on small letters
         for b in range(size):
-            chance = {k: (r[b] + LEAN * single[k][b]) / (sum(r) + LEAN) for k, r in rows.items()}
-            even = 0.25 / size + sum(0.25 / len(k) for k in KIND_OF if ALPHABET[a] in k and ALPHABET[b] in k)
-            out.append(math.log(0.5 * chance[True] + even) - math.log(chance[False]))
+            place, second = a * size + b, ALPHABET[b]
+            both = ALPHABET[a].isupper() and second.isupper()
+            like = chances[ALPHABET[a].lower() + second.lower()] if both else single[False][b]
+            lean = {True: single[True][b], False: 0.5 * like if ALPHABET[a].isupper() else like}
+            chance = {k: (t[place] + LEAN * lean[k]) / (sum(t[a * size : (a + 1) * size]) + LEAN) for k, t in tables.items()}
+            chances[ALPHABET[a] + second] = chance[False]
+            even = 0.25 / size + sum(0.25 / len(k) for k in KIND_OF if ALPHABET[a] in k and second in k)
+            out[place] = math.log(0.5 * chance[True] + even) - math.log(chance[False])
     return out
 
 
