@@ -4,8 +4,9 @@ Method: MinHash banding.  The number of bands follows from the rows in a band an
 (`band_count`); bands of ROWS rows keep texts that merely share a passage apart.  Documents with equal n-gram sets are
 one class from the start.  Band hashes of classes are shuffled; classes that share one are connected, and connected
 classes form a candidate component.  Every pair inside a component is verified on the full n-gram sets: components are
-cut into parts of bounded size, and each pair of parts is a unit of work, so neither a pair is verified twice nor does
-a task see more than two parts.  A unit gives per class its number of links and a link of a spanning forest; pairs
+dealt by hash into parts, and each pair of parts is a unit of work, so neither a pair is verified twice nor does a unit
+see more than two parts.  A part of a component of n classes has about sqrt(n) of them, PART_CLASSES at most, so that a
+large component's units are many and small.  A unit gives per class its number of links and a link of a spanning forest; pairs
 themselves are never written.
 
 Result, one row for each document: class_id (least doc_id connected with it by links, itself included), n_links
@@ -35,8 +36,9 @@ from quillon.llm.common import carried, map_arrow, materialise, read_table, text
 
 N, THRESHOLD = 5, 0.8
 ROWS, RECALL = 8, 0.9995
-#: Classes, and n-grams, in a part of a component at most (a single longer text is a part by itself).
-PART_CLASSES, PART_GRAMS = 256, 500_000
+#: Classes in a part of a component, at least (of large enough ones) and at most, and n-grams at most; parts are dealt by
+#: hash, so these hold on average.
+LEAST_CLASSES, PART_CLASSES, PART_GRAMS = 32, 256, 500_000
 #: Rows for which a list of row ids is sent to all executors; longer lists are joined over a shuffle.
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -217,7 +219,8 @@ def links_of(table: DataFrame, classes: DataFrame, n: int, bands: int, rows: int
     buckets = each.groupBy("h").agg(F.min("cid").alias("least"), F.count("*").alias("k")).where("k > 1").select("h", "least")
     labels = components(each.join(buckets, "h").select(F.col("cid").alias("a"), F.col("least").alias("b")), "near-candidates")
     members = labels.withColumnRenamed("node", "cid").join(classes.select("cid", "row_id", "copies", "grams"), "cid")
-    parts = F.ceil(F.greatest(F.count("*") / PART_CLASSES, F.sum("grams") / PART_GRAMS)).cast("int")
+    each_part = F.least(F.lit(PART_CLASSES), F.greatest(F.lit(LEAST_CLASSES), F.sqrt(F.count("*"))))
+    parts = F.ceil(F.greatest(F.count("*") / each_part, F.sum("grams") / PART_GRAMS)).cast("int")
     sizes = members.groupBy("label").agg(parts.alias("parts"))
     members = materialise(members.drop("grams").join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "near-members")
     texts = listed(table.select("row_id", "text"), members, "row_id")
