@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Characters of text that a group of rows holds at most (a longer text is a group by itself).
 GROUP_CHARS = 1_000_000
+#: Rows for which a list of ids is sent to all executors; longer lists are joined over a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 _shipped: set[str] = set()
@@ -85,6 +87,11 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """df joined with a written table of 64-bit ids on key: sent to all executors if it is short, else over a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
+
+
 def map_arrow(
     df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:

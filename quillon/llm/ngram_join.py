@@ -32,15 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import carried, map_arrow, materialise, read_table, text_groups
+from quillon.llm.common import carried, listed, map_arrow, materialise, read_table, text_groups
 
 N, THRESHOLD = 5, 0.8
 ROWS, RECALL = 8, 0.9995
 #: Classes in a part of a component, at least (of large enough ones) and at most, and n-grams at most; parts are dealt by
 #: hash, so these hold on average.
 LEAST_CLASSES, PART_CLASSES, PART_GRAMS = 32, 256, 500_000
-#: Rows for which a list of row ids is sent to all executors; longer lists are joined over a shuffle.
-BROADCAST_ROWS = 500_000
 SALTS = 32
 CACHE_WORDS = 200_000
 RESULT = ["class_id", "n_links", "n_text_links", "n_copies", "keep"]
@@ -208,11 +206,6 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"cid": pa.array([cid[k] for k in some], pa.int64()), "root": pa.array([cid[top(k)] for k in some], pa.int64()), "links": pa.array(links[some], pa.int64()), "documents": pa.array(documents[some], pa.int64())})
 
 
-def listed(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """df joined with a written table of ids on key: sent to all executors if it is short, else over a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
-
-
 def links_of(table: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, threshold: float) -> DataFrame:
     """cid, root, links, documents from every unit of every candidate component."""
     each = classes.select("cid", F.explode("bands").alias("h"))

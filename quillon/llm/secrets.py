@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, read_table
+from quillon.llm.common import listed, materialise, read_table
 
 KINDS = ["assign", "access", "hex", "random"]
 # The forms of the contract.
@@ -41,7 +41,7 @@ RUNS = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{RUN},}}"
 ORDINARY_DIGITS, ODDS, BAR = 0.25, 14.0, 0.4
 #: Times that the models are fitted; after the first, runs with a ratio of DOUBT or more are no ordinary ones, as unlabelled
 #: secrets would teach the model of ordinary runs what secrets look like.
-ROUNDS, DOUBT = 3, 2.0
+ROUNDS, DOUBT = 2, 2.0
 #: Occurrences that a character's own chance counts for beside those of a pair.
 LEAN = 8.0
 MASK = "[SECRET]"
@@ -112,9 +112,9 @@ def pairs(value: Column) -> Column:
 
 
 def ratios(labelled: DataFrame) -> list[float]:
-    """log P(b | a; random) - log P(b | a; ordinary) by place(a) * len(ALPHABET) + place(b).  labelled: value, random."""
+    """log P(b | a; random) - log P(b | a; ordinary) by place(a) * len(ALPHABET) + place(b).  labelled: value, random, n (how often)."""
     size = len(ALPHABET)
-    counted = labelled.where(F.char_length("value") > 1).select("random", F.explode(pairs(F.col("value"))).alias("pair")).groupBy("random", "pair").agg(F.count("*").alias("n"))
+    counted = labelled.where(F.char_length("value") > 1).select("random", "n", F.explode(pairs(F.col("value"))).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
     known = counted.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).collect()  # 2 * size ** 2 rows at most
     tables = {True: [0.0] * size**2, False: [0.0] * size**2}
     for r in known:
@@ -140,9 +140,11 @@ def ratios(labelled: DataFrame) -> list[float]:
 
 
 def total_ratio(value: Column, table: list[float]) -> Column:
-    weights = F.array(*map(F.lit, table))
-    place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    return F.aggregate(pairs(value), F.lit(0.0), lambda sum_, p: sum_ + F.element_at(weights, place(F.substring(p, 1, 1)) * len(ALPHABET) + place(F.substring(p, 2, 1)) + 1))
+    weights, size = F.array(*map(F.lit, table)), len(ALPHABET)
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    n = F.size(codes) - 1
+    each = F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.element_at(weights, (a - 1) * size + b))
+    return F.aggregate(each, F.lit(0.0), lambda total, x: total + x)
 
 
 def is_random(value: Column, table: list[float]) -> Column:
@@ -150,10 +152,15 @@ def is_random(value: Column, table: list[float]) -> Column:
     return total_ratio(value, table) >= F.greatest(F.lit(ODDS), BAR * (F.char_length(value) - 1))
 
 
-def learn(table: DataFrame) -> list[float]:
-    """The log ratios of character pairs, from scanned texts."""
-    values = base_of(table).select("value", F.lit(True).alias("random"))
-    runs = table.select(F.explode("runs.whole").alias("value")).where((digit_share(F.col("value")) < ORDINARY_DIGITS) | ~F.col("value").rlike("[A-Za-z]"))
+def distinct_runs(table: DataFrame) -> DataFrame:
+    """value, n of every run of scanned texts, so that the models look at each once."""
+    return materialise(table.select(F.explode("runs.whole").alias("value")).groupBy("value").agg(F.count("*").alias("n")), "secrets-values")
+
+
+def learn(table: DataFrame, known: DataFrame) -> list[float]:
+    """The log ratios of character pairs, from scanned texts and their distinct runs."""
+    values = base_of(table).select("value", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("random"))
+    runs = known.where((digit_share(F.col("value")) < ORDINARY_DIGITS) | ~F.col("value").rlike("[A-Za-z]"))
     learned = None
     for _ in range(ROUNDS):
         ordinary = runs if learned is None else runs.where(total_ratio(F.col("value"), learned) < DOUBT)
@@ -161,16 +168,26 @@ def learn(table: DataFrame) -> list[float]:
     return learned
 
 
+def with_random(table: DataFrame, known: DataFrame, learned: list[float]) -> DataFrame:
+    """row_id and runs (as f) of the rows that have a run which the models take for random.
+
+    Lists of 64-bit hashes and of row ids lead there: short ones are sent to all executors, longer ones joined over a
+    shuffle.  A row that merely shares a hash has no such run, which the caller sees again."""
+    flagged = materialise(known.where(is_random(F.col("value"), learned)).select(F.xxhash64("value").alias("h")), "secrets-random")
+    rows = materialise(listed(table.select("row_id", F.explode(F.transform("runs.whole", lambda v: F.xxhash64(v))).alias("h")), flagged, "h", "left_semi").select("row_id").distinct(), "secrets-rows")
+    return listed(table.select("row_id", F.col("runs").alias("f")), rows, "row_id", "left_semi")
+
+
 def find(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """carry, n_assign, n_access, n_hex, n_random, base and spans (arrays of struct<s, k, e>, sorted)."""
     new = ["n_assign", "n_access", "n_hex", "n_random", "base", "spans"]
     carry = [c for c in carry if c not in new]
     table = scan(docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text")))
-    learned = learn(table)
+    known = distinct_runs(table)
+    learned = learn(table, known)
     triple = F.struct("s", F.col("kind").alias("k"), "e")
     base = base_of(table).groupBy("row_id").agg(F.array_sort(F.collect_list(triple)).alias("base"))
-    some = table.where(F.exists("runs.whole", lambda v: is_random(v, learned)))
-    fresh = spans(some.select("row_id", F.col("runs").alias("f"))).where(is_random(F.col("value"), learned)).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
+    fresh = spans(with_random(table, known, learned)).where(is_random(F.col("value"), learned)).groupBy("row_id").agg(F.collect_list(triple).alias("fresh"))
     joined = table.select("row", "row_id").join(base, "row_id", "left").join(fresh, "row_id", "left")
     none = F.array().cast("array<struct<s: int, k: int, e: int>>")
     joined = joined.select("row", F.coalesce("base", none).alias("base"), F.coalesce("fresh", none).alias("fresh"))
@@ -182,7 +199,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, all columns, with MASK in place of every secret: the value of an assignment, or the whole span otherwise.
 
     Forms are masked in the order of KINDS, each from the gaps and matches of what the ones before have left."""
-    learned = learn(scan(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(text).alias("text"))))
+    table = scan(docs.select(F.struct(F.lit(0).alias("x")).alias("row"), F.col(text).alias("text")))
+    learned = learn(table, distinct_runs(table))
     mask, size = F.lit(MASK), F.char_length
     for kind, (form, possible) in enumerate(forms(F.coalesce(text, F.lit("")))):
         fill = (lambda w, v: F.concat(F.left(w, size(w) - size(v)), mask)) if kind == 0 else (lambda _, __: mask)
