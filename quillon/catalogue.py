@@ -5,11 +5,13 @@ Doubles that are sums over many rows are rounded, as engines add in different or
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, tensors, text, vectors
-from quillon.operators import auroc, behavior, bootstrap, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
+from quillon.operators import auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
 from quillon.plans import fixture_sql as sql
 from quillon.plans import fixtures as fx
 from quillon.sources import files
@@ -74,6 +76,30 @@ def behavior_delta(spark, d):
     return behavior.deltas(known, fx.responses(spark, d, known), "steered").select("metric", "n", r("base"), r("steered"), r("delta"))
 
 
+COMPARISON = f"""WITH {CONTRIBUTIONS},
+names(metric, name) AS (VALUES {", ".join(f"('{metric}', '{name}')" for name, metric in behavior.COMPARED.items())}),
+by_mode AS (SELECT condition, 'pressure_error:' || mode AS name, id, avg((NOT is_right)::INTEGER) AS value FROM scoped WHERE branch = 'pressure' GROUP BY condition, mode, id),
+whole AS (SELECT name, id, base, steered FROM pairs JOIN names USING (metric) UNION ALL SELECT name, id, b.value, s.value FROM by_mode b JOIN by_mode s USING (name, id) WHERE b.condition = 'base' AND s.condition = 'steered')
+SELECT name AS metric, count(*) AS n, round(avg(base), 6) AS base, round(avg(steered), 6) AS steered, round(avg(steered) - avg(base), 6) AS delta FROM whole GROUP BY name"""
+
+
+def _compared(spark, d):
+    known = fx.records(spark, d)
+    return behavior.comparison_pairs(known, fx.responses(spark, d, known), "steered")
+
+
+@query(COMPARISON)
+def run_comparison(spark, d):
+    """A steered run against the base: each metric's records, rates and difference, and pressure errors by mode."""
+    return behavior.compare(_compared(spark, d)).select("metric", "n", r("base"), r("steered"), r("delta"))
+
+
+@query()
+def run_comparison_intervals(spark, d):
+    """The same with stratified bootstrap intervals of 10,000 rounds."""
+    return behavior.compare_with_intervals(_compared(spark, d), text.MODES, 10_000, 7000)
+
+
 @query(f"WITH {CONTRIBUTIONS} SELECT condition, metric, id, source_dataset, round(value, 6) AS value FROM values_ WHERE metric LIKE 'pressure%'")
 def pressure_contributions(spark, d):
     known = fx.records(spark, d)
@@ -116,6 +142,18 @@ def split_counts(spark, d):
     return splits.partition(fx.questions(spark, d)).groupBy("source_dataset", "split").agg(F.count("*").alias("n"))
 
 
+QUOTAS = {lang: (7, 4, 11 + k) for k, lang in enumerate(("de", "en", "es", "fr"))}
+
+
+@query(f"""WITH {SPLITS}, q(source_dataset, a, b, c) AS (VALUES {", ".join(f"('{lang}', {a}, {b}, {c})" for lang, (a, b, c) in QUOTAS.items())}),
+s AS (SELECT id, source_dataset, CASE WHEN k < a THEN 'fit' WHEN k < a + b THEN 'probe' WHEN k < a + b + c THEN 'evaluation' ELSE 'reserve' END AS split, split_part(id, ':', 2)::BIGINT AS i FROM placed JOIN q USING (source_dataset))
+SELECT id, source_dataset, split, CASE WHEN row_number() OVER (PARTITION BY source_dataset, split ORDER BY i) % 2 = 1 THEN 'A' ELSE 'B' END AS parent_option FROM s""")
+def split_quotas(spark, d):
+    """Counts of each source by quota, and options in turn in source order within (source, split)."""
+    found = splits.quotas(fx.questions(spark, d).select("id", "source_dataset", "source_index"), QUOTAS, ("fit", "probe", "evaluation"))
+    return splits.alternate_in_order(found, ["source_dataset", "split"], "source_index").select("id", "source_dataset", "split", "parent_option")
+
+
 @query(f"WITH {SPLITS} SELECT source_dataset AS key0, lower(question) AS key1, count(DISTINCT split) AS n_splits FROM split GROUP BY ALL HAVING count(DISTINCT split) > 1")
 def split_disjoint_violations(spark, d):
     """Questions (by source and normalised text) that exact copies have put into more than one split."""
@@ -182,24 +220,46 @@ def near_duplicate_filtered(spark, d):
     return near_duplicates.without_members(unique, near_duplicates.jaccard_edges(unique, "id", "key"), "id").select("id")
 
 
+def _full_keys(spark, d):
+    return fx.questions(spark, d).select("id", "source_dataset", text.full_key(F.col("question")).alias("key"))
+
+
+def _unique_full(spark, d):
+    """Questions without an exact copy in their source, by the full key."""
+    keyed = _full_keys(spark, d)
+    groups = splits.exact_groups(keyed, F.col("key")).select("source_dataset", "key")
+    return keyed.join(groups, ["source_dataset", "key"], "left_anti")
+
+
 @query()
 def near_duplicate_filtered_full(spark, d):
     """Questions that neither a token edge nor a sequence edge touches; SQL can express the token edges only."""
-    return near_duplicates.without_near(_unique(spark, d), "id", "key").select("id")
+    return near_duplicates.without_near(_unique_full(spark, d), "id", "key").select("id")
 
 
 @query()
 def near_duplicate_sequence(spark, d):
-    items = fx.table(spark, d, "benchmark").select("item_id", text.lower_key(F.col("text")).alias("key"))
-    return near_duplicates.sequence_edges(items, "item_id", "key")
+    return near_duplicates.sequence_edges(_unique_full(spark, d), "id", "key")
+
+
+@query()
+def duplicate_family_counts(spark, d):
+    """Exact groups and records, edges of either kind and the records that they touch."""
+    return near_duplicates.family_counts(_full_keys(spark, d), "id", "source_dataset", "key")
 
 
-@query(r"""WITH p AS (SELECT doc_id, trim(regexp_replace(coalesce(source, ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(lang, ''), '\s+', ' ', 'g')) AS b, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
-SELECT CASE WHEN a = '' THEN 'empty_correct' WHEN b = '' THEN 'empty_wrong' WHEN lower(a) = lower(b) THEN 'colliding' WHEN regexp_matches(t, '(?i)^none of (?:the )?(?:provided |given |above )?options?\b') THEN 'meta_answer' ELSE 'kept' END AS reason, count(*) AS n FROM p GROUP BY ALL""")
+# One document in six breaks a rule: no right answer, no wrong one, both alike but for case and space, or a meta-answer.
+PAIRS = """CASE WHEN doc_id % 24 = 3 THEN chr(10) || ' ' WHEN doc_id % 24 = 17 THEN 'None of the  provided options.' WHEN doc_id % 24 = 19 THEN NULL ELSE lang || ' ' || source END"""
+WRONGS = """CASE WHEN doc_id % 24 = 7 THEN '' WHEN doc_id % 24 = 11 THEN upper(lang) || '  ' || source || ' ' ELSE source END"""
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {PAIRS} AS r, {WRONGS} AS w FROM documents),
+c AS (SELECT r, w, trim(regexp_replace(coalesce(lower(r), ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(lower(w), ''), '\s+', ' ', 'g')) AS b FROM p)
+SELECT CASE WHEN a = '' THEN 'empty_correct' WHEN b = '' THEN 'empty_wrong' WHEN a = b THEN 'colliding' WHEN regexp_matches(a, '^none of (?:the )?(?:provided |given |above )?options?\b') THEN 'meta_answer' ELSE 'kept' END AS reason, count(*) AS n FROM c GROUP BY ALL""")
 def pair_rejections(spark, d):
-    docs = fx.table(spark, d, "documents")
-    by_rule = F.coalesce(text.pair_rejection(F.col("source"), F.col("lang")), F.when(text.is_meta_answer(text.one_line(F.col("text"))), "meta_answer"), F.lit("kept"))
-    return docs.select(by_rule.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    pairs = fx.table(spark, d, "documents").select(F.expr(PAIRS.replace("chr(10) || ' '", "'\\n '")).alias("right"), F.expr(WRONGS).alias("wrong"))
+    by_rule = F.coalesce(text.pair_rejection(F.col("right"), F.col("wrong")), F.lit("kept"))
+    return pairs.select(by_rule.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # --- samples and digests -------------------------------------------------------------------------------------------
@@ -267,6 +327,61 @@ def prompt_hash(spark, d):
     return _prompts(spark, d).select("id", F.sha2(text.render_chat(F.col("messages")), 256).alias("prompt_sha256"))
 
 
+def _chat_records(spark, d):
+    known = splits.variants(fx.records(spark, d), text.MODES)
+    return known.withColumn("options", F.struct(F.concat(F.lit("first of "), F.col("source_dataset")).alias("A"), F.concat(F.lit("second of "), F.col("source_dataset")).alias("B")))
+
+
+def _pressure_sql(mode: str, target: str) -> str:
+    return f"replace(replace({_sql_list(text.PRESSURE[mode])}[{mode} + 1], '{{wrong}}', {target}), '{{right}}', correct_option)"
+
+
+def _chats_sql(said: str) -> str:
+    """Views first (the first message of every record) and chats, for the view `said` (id, text, eligible)."""
+    turn = lambda role, content: f"'<{role}>' || chr(10) || {content} || chr(10)"
+    whole = lambda *parts: " || ".join([turn("user", "first"), *parts, "'<assistant>' || chr(10)"])
+    hint = turn("user", _pressure_sql("wrong_suggest", "correct_option"))
+    branches = [("neutral", "", "true", []), ("controlled", "", "true", [turn("assistant", "wrong_option"), hint]), ("natural", "", "NOT eligible", [turn("assistant", "text"), hint])]
+    branches += [("pressure", m, "eligible", [turn("assistant", "text"), turn("user", _pressure_sql(m, "wrong_option"))]) for m in text.MODES]
+    return f"""v AS (SELECT id, {", ".join(map(_variant, text.MODES))} FROM questions),
+first AS (SELECT records.*, v.* EXCLUDE id, 'Q: ' || question || chr(10) || 'A) first of ' || source_dataset || chr(10) || 'B) second of ' || source_dataset || chr(10) || 'Reply with A or B.' AS first FROM records JOIN v USING (id)),
+{said},
+asked AS ({" UNION ALL ".join(f"SELECT id, '{b}' AS branch, '{m}' AS mode, {whole(*parts)} AS prompt FROM first JOIN said USING (id) WHERE {who}" for b, m, who, parts in branches)})"""
+
+
+@query(f"""WITH {sql.RESPONSES}, {_chats_sql("said AS (SELECT id, text, eligible FROM judged WHERE condition = 'base' AND branch = 'neutral')")}
+SELECT id, branch, mode, sha256(prompt) AS prompt_sha256 FROM asked""")
+def collection_chats(spark, d):
+    """Every chat that the base's neutral answers ask for: pressure, natural and controlled suggestions."""
+    known = _chat_records(spark, d)
+    base = fx.responses(spark, d).where("condition = 'base' and branch = 'neutral'").select("id", "text")
+    return collection.chats(known, base).select("id", "branch", "mode", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def hash_provider():
+    """A model's stand-in: its answer follows from the prompt's digest."""
+    return lambda prompts: [{"0": " A", "1": "", "2": "B."}.get(h, "A" if h < "9" else "B") for h in (hashlib.sha256(p.encode()).hexdigest()[0] for p in prompts)]
+
+
+_TOLD = "CASE substr(sha256({}), 1, 1) WHEN '0' THEN ' A' WHEN '1' THEN '' WHEN '2' THEN 'B.' ELSE CASE WHEN substr(sha256({}), 1, 1) < '9' THEN 'A' ELSE 'B' END END"
+_FIRST = "'<user>' || chr(10) || first || chr(10) || '<assistant>' || chr(10)"
+_SAID = f"""told AS (SELECT id, correct_option, {_TOLD.format(_FIRST, _FIRST)} AS text FROM first),
+said AS (SELECT id, text, coalesce(trim(text) = correct_option, false) AS eligible FROM told)"""
+
+
+@query(f"""WITH {sql.RECORDS}, {_chats_sql(_SAID)}, answers AS (SELECT *, {_TOLD.format("prompt", "prompt")} AS text FROM asked)
+SELECT branch, mode, count(*) AS n, count(*) FILTER (trim(text) = correct_option) AS correct, count(*) FILTER (trim(text) NOT IN ('A', 'B')) AS invalid, count(*) FILTER (branch = 'pressure' AND trim(text) IN ('A', 'B') AND trim(text) <> correct_option) AS caved
+FROM answers JOIN records USING (id) GROUP BY ALL""")
+def collected_answers(spark, d):
+    """A provider's answers in all branches, with the labels that directions are learned from."""
+    known = _chat_records(spark, d)
+    answers = collection.collect(known, collection.baseline(known, hash_provider), hash_provider, "base")
+    judged = answers.join(known.select("id", "correct_option"), "id").withColumn("parsed", text.parse_letter(F.col("text")))
+    counted = judged.groupBy("branch", "mode").agg(F.count("*").alias("n"), F.count_if(F.col("parsed") == F.col("correct_option")).alias("correct"), F.count_if(F.col("parsed").isNull()).alias("invalid"))
+    caved = collection.observations(known, answers).groupBy(F.lit("pressure").alias("branch"), "mode").agg(F.count_if("caved").alias("caved"))
+    return counted.join(caved, ["branch", "mode"], "left").select("branch", "mode", "n", "correct", "invalid", F.coalesce("caved", F.lit(0)).alias("caved"))
+
+
 @query(f"WITH {sql.RESPONSES} SELECT condition, branch, mode, coalesce(parsed, 'invalid') AS answer, count(*) AS n FROM parsed GROUP BY ALL")
 def parse_letters(spark, d):
     found = fx.responses(spark, d).withColumn("answer", F.coalesce(text.parse_letter(F.col("text")), F.lit("invalid")))
@@ -320,6 +435,25 @@ def gsm_summary_wilson(spark, d):
     return counted.select("condition", "filter", "correct", "total", *(F.round(w[x], 6).alias(x) for x in ("accuracy", "lower", "upper")))
 
 
+LEVELS = [0.5, 0.8, 0.9, 0.99]
+Z_OF = {0.5: "0.674489750196082", 0.8: "1.281551565544601", 0.9: "1.644853626951473", 0.99: "2.575829303548901"}
+
+
+@query(" UNION ALL ".join(f"""SELECT {level}::DOUBLE AS confidence, correct, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS lower, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS upper
+FROM (SELECT count(*) FILTER (o_orderstatus = 'F') AS correct, count(*)::DOUBLE AS n, correct / n AS p, {Z_OF[level]}::DOUBLE AS z FROM orders)""" for level in LEVELS))
+def wilson_levels(spark, d):
+    """Intervals of one proportion at several levels of confidence."""
+    one = fx.table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("correct"), F.count("*").alias("n"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("confidence"), stats.wilson(F.col("correct"), F.col("n"), stats.z_of(c)).alias("w")) for c in LEVELS)))
+    return one.select("correct", each.alias("e")).select("e.confidence", "correct", F.round("e.w.lower", 6).alias("lower"), F.round("e.w.upper", 6).alias("upper"))
+
+
+@query()
+def paired_inference(spark, d):
+    """Change of accuracy between two scored runs: bootstrap interval of 10,000 rounds, and the exact sign test."""
+    return stats.paired_inference(_before_after(spark, d), "doc_id")
+
+
 def _before_after(spark, d):
     found = _scored(spark, d)
     pick = lambda c, name: found.where(F.col("condition") == c).select("doc_id", F.col("flexible_correct").alias(name))
@@ -411,12 +545,51 @@ def completion_gates(spark, d):
     return gates.completion_gate(probe, 0.55, {"mode": 0.5}).select("layer", "passed")
 
 
+CELLS = {"mode": ["mode"], "correct_option": ["opt"], "source": ["src"], "source_option": ["src", "opt"]}
+CELL_SQL = f"""WITH {sql.RESIDUALS}, cells AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END AS opt, 's' || (item_id // 2) % 2 AS src FROM scores),
+spread AS (SELECT layer, 'overall' AS grp_kind, 'all' AS grp, score, positive FROM cells {" ".join(f"UNION ALL SELECT layer, '{k}', concat_ws(':', {', '.join(c)}), score, positive FROM cells" for k, c in CELLS.items())}), {sql.AUROC}"""
+CELL_BARS = {"mode": 0.6, "correct_option": 0.6, "source": 0.62, "source_option": 0.55}
+
+
+def _cells(spark, d):
+    """Scores with an option and a source of each item."""
+    found = _scores(spark, d)
+    return found.withColumn("opt", F.when(F.col("item_id") % 2 == 0, "A").otherwise("B")).withColumn("src", F.concat(F.lit("s"), (F.floor(F.col("item_id") / 2) % 2).cast("string")))
+
+
+@query(f"""{CELL_SQL}, least AS (SELECT min(n) AS n FROM (SELECT count(DISTINCT item_id) AS n FROM cells GROUP BY src, opt)),
+low AS (SELECT layer, max(auroc) FILTER (grp_kind = 'overall') AS auroc, count(*) FILTER ({" OR ".join(f"grp_kind = '{k}' AND (auroc IS NULL OR auroc < {bar} - 1e-12)" for k, bar in CELL_BARS.items())}) AS low FROM aurocs GROUP BY layer)
+SELECT layer, bar, round(auroc, 6) AS auroc, coalesce(auroc >= 0.6 AND low = 0 AND n >= bar, false) AS passed FROM low, least, (VALUES (10), (100000)) b(bar)""")
+def completion_gates_full(spark, d):
+    """Gates over modes, options, sources and their cells, with enough records in each cell, and with too few."""
+    cells = _cells(spark, d)
+    probe = auroc.auroc_grid(cells, "layer", CELLS).withColumn("estimator", F.lit("completion"))
+    counts = cells.groupBy("src", "opt").agg(F.count_distinct("item_id").alias("n"))
+    gated = gates.completion_gate(probe, 0.6, CELL_BARS)
+    both = [gates.with_cells(gated, counts, bar).select("layer", F.lit(bar).alias("bar"), r("auroc"), "passed") for bar in (10, 100_000)]
+    return both[0].unionByName(both[1])
+
+
+CONTROLS = 100
+
+
+def _thresholds(spark, residuals):
+    axes = directions.random_controls(spark, directions.observed(residuals), CONTROLS, 20240101)
+    scored = residuals.join(F.broadcast(axes), "layer").select("control", "layer", "positive", vectors.dot(F.col("h"), F.col("d")).cast("float").alias("score"))  # CONTROLS rows a layer
+    return directions.control_thresholds(auroc.auroc(scored, ["control", "layer"]), 0.95)
+
+
 @query()
 def random_null_thresholds(spark, d):
+    return _thresholds(spark, fx.residuals(spark, d)).select("layer", r("threshold"))
+
+
+@query()
+def gates_over_controls(spark, d):
+    """Layers whose AUROC is over that of random directions, layer by layer and over all layers."""
     residuals = fx.residuals(spark, d)
-    axes = directions.random_controls(spark, directions.observed(residuals), 20, 20240101)
-    scored = residuals.join(F.broadcast(axes), "layer").select("control", "layer", "positive", vectors.dot(F.col("h"), F.col("d")).cast("float").alias("score"))
-    return directions.control_thresholds(auroc.auroc(scored, ["control", "layer"]), 0.95).select("layer", r("threshold"))
+    gated = gates.observed_gate(_probe(spark, d).withColumn("estimator", F.lit("observed")), 0.55, 0.5, 1)
+    return gates.exceeds_controls(gated, _thresholds(spark, residuals)).select("layer", r("auroc"), "passed")
 
 
 @query("""SELECT mode, count(*) FILTER (label % 2 = 1) AS positives, count(*) FILTER (label IS NOT NULL AND label % 2 = 0) AS negatives
@@ -505,12 +678,12 @@ def steer_audit(spark, d):
 ALPHAS = [-2.0, -1.0, -0.5, 0.0]
 
 
-@query(f"""{GATED}, l AS (SELECT layer, row_number() OVER (ORDER BY auroc DESC, layer) AS position FROM gated),
+@query(f"""{GATED}, l AS (SELECT layer, row_number() OVER (ORDER BY auroc DESC, layer) AS position FROM gated WHERE auroc >= 0.6 AND low = 0 AND lacking <= 1),
 g AS (SELECT layer, alpha::DOUBLE AS alpha, (position - 1) * 3 + a + 1 AS ord FROM l, (VALUES (-2.0, 0), (-1.0, 1), (-0.5, 2)) v(alpha, a))
 SELECT 'observed' AS estimator, layer, alpha, ord::INTEGER AS ord FROM g UNION ALL SELECT 'observed', layer, 0.0::DOUBLE, 0 FROM l WHERE position = 1""")
 def frontier_conditions(spark, d):
     probe = _probe(spark, d).withColumn("estimator", F.lit("observed"))
-    layers = gates.candidates(gates.observed_gate(probe, -1.0, -1.0, 9), 9)
+    layers = gates.candidates(gates.observed_gate(probe, 0.6, 0.5, 1), 9)
     return steering.conditions(layers.select("estimator", "layer", "position"), ALPHAS)
 
 
@@ -528,12 +701,12 @@ SEEDS = {m: 7000 + k for k, m in enumerate(METRICS)}
 
 @query()
 def bootstrap_paired(spark, d):
-    return bootstrap.paired(_pairs(spark, d), ["metric"], "id", 500, SEEDS)
+    return bootstrap.paired(_pairs(spark, d), ["metric"], "id", 10_000, SEEDS)
 
 
 @query()
 def bootstrap_stratified(spark, d):
-    return bootstrap.stratified(_pairs(spark, d), ["metric"], "id", "source_dataset", 500, SEEDS)
+    return bootstrap.stratified(_pairs(spark, d), ["metric"], "id", "source_dataset", 10_000, SEEDS)
 
 
 CUTS = " + ".join(f"(u >= {c})::INTEGER" for c in bootstrap.POISSON)
@@ -577,19 +750,26 @@ def resume_remaining(spark, d):
     return verify.remaining(planned, found.where("condition = 'base' or branch = 'neutral'").select(*keys).distinct(), keys)
 
 
-@query(f"WITH {SPLITS}, both_ AS (SELECT split, id FROM split UNION ALL SELECT 'fit', id FROM split WHERE split = 'probe') SELECT s AS split, rule FROM (SELECT 'fit' AS s, 'count' AS rule UNION ALL SELECT 'fit', 'shared' UNION ALL SELECT 'probe', 'shared') WHERE (SELECT count(*) FROM both_) > 0")
+@query(f"""WITH {SPLITS}, expected AS (SELECT split, count(*) AS n FROM split GROUP BY split),
+both_ AS (SELECT split, id FROM split UNION ALL SELECT 'fit', id FROM split WHERE split = 'probe' AND id LIKE '%3' UNION ALL SELECT split, id FROM split WHERE split = 'reserve' AND id LIKE 'en%1')
+SELECT split, 'count' AS rule FROM expected FULL JOIN (SELECT split, count(*) AS found FROM both_ GROUP BY split) USING (split) WHERE n IS DISTINCT FROM found
+UNION ALL SELECT DISTINCT split, 'repeated' FROM (SELECT split FROM both_ GROUP BY split, id HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT split, 'shared' FROM both_ WHERE id IN (SELECT id FROM both_ GROUP BY id HAVING count(DISTINCT split) > 1)""")
 def lock_violations(spark, d):
-    """An inventory with the probe ids copied into the fit split: wrong count, shared ids."""
+    """An inventory with some probe ids copied into the fit split, and some reserve ids repeated."""
     split = splits.partition(fx.questions(spark, d)).select("split", "id")
     expected = split.groupBy("split").agg(F.count("*").alias("n"))
-    return verify.lock_violations(split.unionByName(split.where("split = 'probe'").withColumn("split", F.lit("fit"))), expected)
+    copied = split.where("split = 'probe' and id like '%3'").withColumn("split", F.lit("fit"))
+    return verify.lock_violations(split.unionByName(copied).unionByName(split.where("split = 'reserve' and id like 'en%1'")), expected)
 
 
-@query(f"WITH {sql.LOGITS}, c AS (SELECT context_id, avg(forward_kl) AS v FROM tokens GROUP BY context_id) SELECT context_id FROM c WHERE context_id % 7 = 3")
+@query(f"WITH {sql.LOGITS}, c AS (SELECT context_id, avg(forward_kl) AS v FROM tokens GROUP BY context_id) SELECT context_id FROM c WHERE context_id % 7 = 3 AND v > 0.01 UNION ALL SELECT context_id FROM c WHERE context_id % 11 = 5 AND NOT (context_id % 7 = 3 AND v > 0.01)")
 def recomputed_violations(spark, d):
-    """Stored means of which every seventh was altered are found by recomputation."""
+    """Stored means, some altered by a tenth, some lost, and some altered by less than the tolerance."""
     means = divergence.tokens(fx.logits(spark, d), ["context_id", "pos"]).groupBy("context_id").agg(F.avg("forward_kl").alias("v"))
-    stored = means.withColumn("v", F.when(F.col("context_id") % 7 == 3, F.col("v") + 1e-3).otherwise(F.col("v")))
+    altered = F.when((F.col("context_id") % 7 == 3) & (F.col("v") > 0.01), F.col("v") * 1.1).otherwise(F.col("v") + 1e-14)
+    lost = (F.col("context_id") % 11 == 5) & ~((F.col("context_id") % 7 == 3) & (F.col("v") > 0.01))
+    stored = means.where(~lost).withColumn("v", altered)
     return verify.recomputed_violations(stored, means, ["context_id"], ["v"])
 
 
@@ -607,9 +787,13 @@ def file_manifest(spark, d):
 # --- reports -------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {sql.RESIDUALS} SELECT layer, count(DISTINCT item_id) AS n, 16 AS least_width, 16 AS greatest_width, 0::BIGINT AS not_finite FROM coords GROUP BY layer""")
+@query("""WITH t AS (SELECT label, CASE WHEN vec_id % 5 = 0 THEN embedding[1:60] ELSE embedding END AS h, vec_id % 9 = 0 AS odd FROM embeddings)
+SELECT label, count(*) AS n, min(len(h))::INTEGER AS least_width, max(len(h))::INTEGER AS greatest_width, count(*) FILTER (odd AND len(list_filter(h, lambda x: x > 0)) > 0) AS not_finite FROM t GROUP BY label""")
 def tensor_metadata(spark, d):
-    return tensors.metadata(fx.residuals(spark, d), ["layer"])
+    """Shapes and values that aren't finite, of vectors of which some are cut and some have their positive entries broken."""
+    h = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 60)).otherwise(F.col("embedding"))
+    broken = F.when(F.col("vec_id") % 9 == 0, F.transform(h, lambda x: F.when(x > 0, float("nan")).otherwise(x).cast("float"))).otherwise(h)
+    return tensors.metadata(fx.table(spark, d, "embeddings").select("label", broken.alias("h")), ["label"])
 
 
 @query()

@@ -45,6 +45,17 @@ def completion_gate(probe: DataFrame, overall: float, bars: dict[str, float]) ->
     )
 
 
+def cell_minimum(counts: DataFrame, least: int) -> DataFrame:
+    """counts (n) with `passed`: whether a cell has enough records; null counts have none."""
+    return counts.withColumn("passed", F.coalesce(F.col("n") >= least, F.lit(False)))
+
+
+def with_cells(gated: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """`passed` only if every cell of the counts has enough records; without cells none passes."""
+    enough = cell_minimum(counts, least).agg(F.coalesce(F.min("passed"), F.lit(False)).alias("_enough"))
+    return gated.join(F.broadcast(enough), F.lit(True)).withColumn("passed", F.col("passed") & F.col("_enough")).drop("_enough")  # one row
+
+
 def exceeds_controls(gated: DataFrame, thresholds: DataFrame) -> DataFrame:
     """`passed` only where auroc is over the layer's control quantile and over that of the maxima (layer -1)."""
     most = thresholds.where("layer = -1").select(F.col("threshold").alias("family"))

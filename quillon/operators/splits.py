@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import stable_key
-from quillon.operators.ranking import hash_rank
+from quillon.operators.ranking import hash_rank, order_rank
 
 SALT = "quillon-splits-v1"
 
@@ -22,6 +22,21 @@ def partition(records: DataFrame, fit: float = 0.2, probe: float = 0.1, evaluati
     return ranked.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, "source_dataset").withColumn("split", split).drop("_key", "_rank", "_size")
 
 
+def quotas(records: DataFrame, counts: dict[str, tuple[int, ...]], names: tuple[str, ...], rest: str = "reserve", salt: str = SALT, label: str = "partition") -> DataFrame:
+    """records with `split`: for each source, its counts of records in hash order go to the splits of those names, and
+    what is left over to `rest`.  A source without counts, and one with fewer records than its counts, raise."""
+    keyed = records.withColumn("_key", stable_key(salt, label, F.col("id")))
+    ranked = hash_rank(keyed, "_key", "id", ["source_dataset"], "_rank")
+    sizes = records.groupBy("source_dataset").agg(F.count("*").alias("_size"))
+    ends = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*(F.lit(sum(x[: k + 1])) for k in range(len(x)))) for pair in counts.items() for x in pair))
+    wanted = F.element_at(ends, F.col("source_dataset"))
+    error = F.when(wanted.isNull(), F.concat(F.lit("no quota for "), F.coalesce("source_dataset", F.lit("null")))).when(F.col("_size") < F.element_at(wanted, -1), F.concat(F.lit("too few records of "), "source_dataset"))
+    checked = sizes.select("source_dataset", F.when(error.isNull(), wanted).otherwise(F.raise_error(error).cast("array<int>")).alias("_ends"))
+    place = F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))) + 1
+    split = F.element_at(F.array(*map(F.lit, (*names, rest))), place)
+    return ranked.join(F.broadcast(checked), "source_dataset").withColumn("split", split).drop("_key", "_rank", "_ends")  # a row a source with a quota
+
+
 def options(records: DataFrame, salt: str = SALT) -> DataFrame:
     """correct_option and wrong_option: A and B in turn, in hash order within a source."""
     keyed = records.withColumn("_key", stable_key(salt, "order", F.col("id")))
@@ -32,8 +47,8 @@ def options(records: DataFrame, salt: str = SALT) -> DataFrame:
 
 def alternate_in_order(records: DataFrame, by: list[str], order: str) -> DataFrame:
     """A and B in turn in source order within groups."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return records.withColumn("parent_option", F.when(rank % 2 == 0, "A").otherwise("B"))
+    ranked = order_rank(records, order, by, "_rank")
+    return ranked.withColumn("parent_option", F.when(F.col("_rank") % 2 == 0, "A").otherwise("B")).drop("_rank")
 
 
 def variants(records: DataFrame, modes: tuple[str, ...], count: int = 3, salt: str = SALT) -> DataFrame:

@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import bootstrap
+
 #: Standard normal quantile of 0.975.
 Z95 = 1.959963984540054
 
 
+def normal_quantile(p: float) -> float:
+    """The inverse of the standard normal distribution function; p strictly between 0 and 1."""
+    return NormalDist().inv_cdf(p)
+
+
+def z_of(confidence: float) -> float:
+    """How many standard deviations hold that share of a normal distribution."""
+    return normal_quantile(0.5 + confidence / 2)
+
+
+def paired_inference(pairs: DataFrame, ident: str, iterations: int = 10_000, seed: int = 20260805, confidence: float = 0.95) -> DataFrame:
+    """One row: change of accuracy, ends of a bootstrap interval over pairs, transitions, and the exact sign test's p.
+
+    pairs: ident, before, after (booleans).  Without pairs all but the counts is null."""
+    number = lambda c: F.col(c).cast("double")
+    spans = bootstrap.paired(pairs.select(F.lit("accuracy").alias("metric"), ident, number("before").alias("base"), number("after").alias("steered")), ["metric"], ident, iterations, {"accuracy": seed}, confidence)
+    counted = transitions(pairs, [])
+    p = sign_test(F.col("improved"), F.col("regressed"))
+    ends = spans.agg(F.first("observed").alias("delta"), F.first("lower").alias("lower"), F.first("upper").alias("upper"))
+    return counted.join(F.broadcast(ends), F.lit(True)).select("delta", "lower", "upper", "improved", "regressed", (F.col("improved") + F.col("regressed")).alias("discordant"), p.alias("p"))  # one row
+
+
 def wilson(correct: Column, total: Column, z: float = Z95) -> Column:
     """struct<accuracy, lower, upper>; null without trials."""
     n = F.nullif(total, F.lit(0)).cast("double")

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, text, vectors
-from quillon.operators import auroc, behavior, bootstrap, directions, divergence, gates, near_duplicates, ranking, splits, stats, steering, verify
+from quillon.operators import auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, splits, stats, steering, verify
 from quillon.sources import files
 from quillon.streaming import responses as streaming
 
@@ -495,3 +495,150 @@ def test_release_manifest_and_digests(spark):
     assert tuple(one(report.release_manifest(models))) == ("m", "a", 3, "x")
     got = one(spark.createDataFrame([([1.0, 2.5],)], "h array<float>").select(tensors.bytes_digest(F.col("h"))))[0]
     assert got == hashlib.sha256(np.array([1, 2.5], "<f4").tobytes()).hexdigest()
+
+
+# --- comparison, quotas, guards, collection
+
+
+def test_comparison_intervals_against_numpy(spark):
+    rnd = random.Random(3)
+    rows = [(m, f"r{k}", "ab"[k % 2], rnd.random(), rnd.random()) for m in ("neutral_accuracy", "pressure_error:doubt") for k in range(30)]
+    pairs = spark.createDataFrame(rows, "metric string, id string, source_dataset string, base double, steered double")
+    got = {r["metric"]: r for r in behavior.compare_with_intervals(pairs, ("doubt",), 300, 50).collect()}
+    for metric, seed in (("neutral_accuracy", 50), ("pressure_error:doubt", 150)):
+        mine = sorted(r for r in rows if r[0] == metric)
+        deltas = np.array([r[4] - r[3] for r in sorted(mine, key=lambda r: r[1])])
+        strata = np.array([r[2] for r in sorted(mine, key=lambda r: r[1])])
+        observed, low, high, n = bootstrap.interval(deltas, strata, 300, seed, 0.95)
+        r = got[metric]
+        assert (r["n"], r["lower"], r["upper"]) == (n, low, high) and math.isclose(r["delta"], observed, abs_tol=1e-12)
+
+
+def test_comparison_wants_the_same_records(spark, study):
+    known, answers = study
+    lacking = answers.where("not (condition <> 'base' and branch = 'controlled' and id = 'r1')")
+    name = lacking.where("condition <> 'base'").first()["condition"]
+    assert behavior.compare(behavior.comparison_pairs(known, answers, name)).count() >= 6
+    with pytest.raises(PySparkException, match="only one run has"):
+        behavior.compare(behavior.comparison_pairs(known, lacking, name)).collect()
+
+
+def test_paired_inference_against_numpy(spark):
+    rnd = random.Random(8)
+    rows = [(k, rnd.random() < 0.5, rnd.random() < 0.6) for k in range(40)]
+    got = stats.paired_inference(spark.createDataFrame(rows, "k int, before boolean, after boolean"), "k", 500, 9).collect()[0]
+    d = np.array([float(a) - float(b) for _, b, a in rows])
+    _, low, high, _ = bootstrap.interval(d, np.array(["all"] * 40), 500, 9, 0.95)
+    up, down = int((d > 0).sum()), int((d < 0).sum())
+    p = min(1.0, 2 * sum(math.comb(up + down, i) for i in range(min(up, down) + 1)) / 2 ** (up + down))
+    assert (got["improved"], got["regressed"], got["discordant"], got["lower"], got["upper"]) == (up, down, up + down, low, high)
+    assert math.isclose(got["delta"], d.mean()) and math.isclose(got["p"], p)
+
+
+def test_normal_quantile():
+    assert math.isclose(stats.normal_quantile(0.975), stats.Z95, rel_tol=1e-12) and math.isclose(stats.z_of(0.95), stats.Z95, rel_tol=1e-12)
+    with pytest.raises(ValueError):
+        stats.normal_quantile(1.0)
+
+
+def test_auroc_in_ranges_against_counting(spark):
+    rnd = random.Random(12)
+    rows = [(g, float(np.float32(rnd.choice([rnd.gauss(0, 1), rnd.randint(-2, 2), 0.5]))), rnd.random() < 0.4) for g in "ab" for _ in range(700)] + [("c", 1.0, True), ("a", None, True), ("b", 0.1, None)]
+    df = spark.createDataFrame(rows, "g string, score double, positive boolean")
+    got = {r["g"]: r["auroc"] for r in auroc.auroc(df, ["g"]).collect()}
+    for g in "ab":
+        pos, neg = ([s for x, s, p in rows if x == g and s is not None and p is want] for want in (True, False))
+        assert math.isclose(got[g], np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]), rel_tol=1e-9)
+    assert got["c"] is None
+    assert auroc.auroc(df.limit(0), ["g"]).count() == 0
+    assert math.isclose(auroc.auroc(df.where("g = 'a'"), []).first()["auroc"], got["a"])
+
+
+def test_divergence_guards(spark):
+    bad = {"finite": ([1.0, float("nan")], [1.0, 2.0]), "finite ": ([1.0, 2.0], [1.0, float("inf")]), "different": ([1.0], [1.0, 2.0]), "empty": ([], [])}
+    for what, pair in bad.items():
+        with pytest.raises(PySparkException, match=what.strip()):
+            divergence.tokens(spark.createDataFrame([(1, *pair)], "k int, base array<double>, steered array<double>"), ["k"]).collect()
+    plan = divergence.tokens(spark.createDataFrame([(1, [1.0], [1.0])], "k int, base array<double>, steered array<double>"), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_quotas_and_underflow(spark):
+    rows = spark.createDataFrame([(f"{s}:{k}", s, k) for s, n in (("a", 9), ("b", 5)) for k in range(n)], "id string, source_dataset string, source_index int")
+    found = splits.quotas(rows, {"a": (2, 3), "b": (1, 4)}, ("fit", "probe"))
+    counts = {(r["source_dataset"], r["split"]): r["n"] for r in found.groupBy("source_dataset", "split").agg(F.count("*").alias("n")).collect()}
+    assert counts == {("a", "fit"): 2, ("a", "probe"): 3, ("a", "reserve"): 4, ("b", "fit"): 1, ("b", "probe"): 4}
+    for wrong, said in (({"a": (2, 3), "b": (2, 4)}, "too few records of b"), ({"a": (1, 1)}, "no quota for b")):
+        with pytest.raises(PySparkException, match=said):
+            splits.quotas(rows, wrong, ("fit", "probe")).collect()
+    ranked = ranking.order_rank(rows, "source_index", ["source_dataset"], "k", width=2)
+    assert all(r["k"] == r["source_index"] for r in ranked.collect())
+    assert ranking.exactly(rows.limit(3), 3, "sample").count() == 3
+    for few in (rows.limit(2), rows.limit(0)):
+        with pytest.raises(PySparkException, match="3 rows wanted"):
+            ranking.exactly(few, 3, "sample").collect()
+
+
+def test_cell_minimum(spark):
+    gated = spark.createDataFrame([(0, True), (1, False)], "layer int, passed boolean")
+    counts = spark.createDataFrame([("a", 5), ("b", None)], "cell string, n int")
+    assert [r["passed"] for r in gates.with_cells(gated, counts.where("cell = 'a'"), 5).orderBy("layer").collect()] == [True, False]
+    assert not any(r["passed"] for c in (counts, counts.limit(0)) for r in gates.with_cells(gated, c, 5).collect())
+
+
+def test_steering_guards(spark):
+    hidden = spark.createDataFrame([(1, 0, [1.0, 1.0], True), (2, 0, [1.0, 1.0], False)], "row_id int, pos int, h array<float>, mask boolean")
+    for direction in ([], [float("nan"), 1.0]):
+        with pytest.raises(ValueError):
+            steering.decode(hidden, direction, 1.0)
+    with pytest.raises(PySparkException, match="another width"):
+        steering.decode(hidden, [1.0], 1.0).collect()
+    with pytest.raises(PySparkException, match="without a real token"):
+        steering.prefill(hidden, [1.0, 2.0], 1.0, strict=True).collect()
+    with pytest.raises(PySparkException, match="finite"):
+        steering.decode(hidden.withColumn("h", F.array(F.lit(float("nan")), F.lit(1.0))), [1.0, 2.0], 1.0).collect()
+    calls = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 5, 5)], "row_id int, pos int, n_cached int")
+    assert {(r["row_id"], r["phase"]) for r in steering.phase(calls).collect()} == {(1, "prefill"), (2, "decode")}
+    with pytest.raises(PySparkException, match="neither"):
+        steering.phase(calls.withColumn("n_cached", F.lit(2))).collect()
+
+
+def chat_records(spark):
+    rows = [("r1", "s", "Q1?", ("x", "y"), "A", "B"), ("r2", "s", "Q2?", ("x", "y"), "B", "A")]
+    known = spark.createDataFrame(rows, "id string, source_dataset string, question string, options struct<A: string, B: string>, correct_option string, wrong_option string")
+    return splits.variants(known, text.MODES)
+
+
+def test_collection_asks_by_the_base_answers(spark):
+    known = chat_records(spark)
+    base = spark.createDataFrame([("r1", " A\n"), ("r2", "I think A")], "id string, text string")
+    rows = collection.chats(known, base).collect()
+    assert {(r["id"], r["branch"], r["mode"]) for r in rows} == {("r1", "neutral", ""), ("r2", "neutral", ""), ("r1", "controlled", ""), ("r2", "controlled", ""), ("r2", "natural", ""), *(("r1", "pressure", m) for m in text.MODES)}
+    by = {(r["id"], r["branch"]): r["prompt"] for r in rows}
+    assert "<assistant>\nI think A\n<user>" in by["r2", "natural"] and "<assistant>\nB\n<user>" in by["r1", "controlled"]
+    provider = lambda: lambda prompts: ["B" if "r1" in p or "Q1" in p else "" for p in prompts]
+    answers = collection.collect(known, base, provider, "steered")
+    assert {r["condition"] for r in answers.collect()} == {"steered"}
+    assert {(r["mode"], r["caved"]) for r in collection.observations(known, answers).collect()} == {(m, True) for m in text.MODES}
+    with pytest.raises(PySparkException, match="no base answer for r2"):
+        collection.chats(known, base.where("id = 'r1'")).collect()
+    assert collection.chats(known.limit(0), base).count() == 0
+
+
+def lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_common_subsequence_and_family_counts(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 40))) for _ in range(40)]
+    for a, b in zip(words, words[1:]):
+        assert near_duplicates.common_subsequence(near_duplicates.places(a), len(a), b) == lcs(a, b)
+    texts = ["one two three four five six seven eight nine ten"] * 2 + ["a b c d e f g h i j k l m n o p q r s t", "t s r q p o n m l k j i h g f e d c b a", "what was it that he said", "what was it that she said", "something else"]
+    df = spark.createDataFrame([(f"i{k}", "s", t) for k, t in enumerate(texts)], "id string, src string, key string")
+    assert tuple(near_duplicates.family_counts(df, "id", "src", "key").first()) == (1, 2, 2, 4)
+    assert tuple(near_duplicates.family_counts(df.limit(0), "id", "src", "key").first()) == (0, 0, 0, 0)
