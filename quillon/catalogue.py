@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, tensors, text, vectors
-from quillon.operators import auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
+from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
 from quillon.plans import fixture_sql as sql
 from quillon.plans import fixtures as fx
 from quillon.sources import files
@@ -849,3 +849,89 @@ def nested_coordinates(spark, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def frequency_counts(spark, d):
     return report.frequencies(fx.table(spark, d, "events"), "event_type")
+
+
+# --- artifacts -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""{GATED} SELECT 'direction' AS rule, '2' AS about UNION ALL SELECT 'auroc', layer || '/' || grp_kind || '/' || grp FROM aurocs WHERE grp = 'doubt' AND layer > 1 AND auroc IS NOT NULL
+UNION ALL SELECT 'auroc', '3/overall/all' UNION ALL SELECT 'gate', layer::VARCHAR FROM gated WHERE coalesce(auroc >= 0.55, false) AND low = 0 AND lacking <= 1""")
+def fit_violations(spark, d):
+    """A fit with one direction altered, one group's AUROCs moved, one lost, and gates that let nothing pass."""
+    residuals = fx.residuals(spark, d)
+    kinds = {"mode": ["mode"]}
+    fitted = directions.observed(residuals)
+    stored = fitted.withColumn("d", F.when(F.col("layer") == 2, F.transform("d", lambda x: x * 1.01)).otherwise(F.col("d").cast("array<double>")))
+    probe = auroc.auroc_grid(directions.scores(residuals, fitted), "layer", kinds)
+    moved = probe.where("not (layer = 3 and grp = 'all')").withColumn("auroc", F.when((F.col("grp") == "doubt") & (F.col("layer") > 1), F.col("auroc") + 1e-6).otherwise(F.col("auroc")))
+    gated = gates.observed_gate(probe.withColumn("estimator", F.lit("observed")), 0.55, 0.5, 1).select("layer", F.lit(False).alias("passed"))
+    return artifacts.fit_violations(residuals, stored, moved, gated, kinds, 0.55, 0.5, 1)
+
+
+@query(f"""WITH {sql.RESPONSES}, s AS (SELECT * FROM scoped WHERE condition = 'base') SELECT 'parse' AS rule, condition || '/' || branch || '/' || mode || '/' || id AS about FROM parsed WHERE condition = 'base' AND parsed IS NULL AND text <> ''
+UNION ALL SELECT 'metrics', 'base' UNION ALL SELECT 'zero_identity', branch || '/' || mode || '/' || id FROM parsed WHERE condition = 'base' AND branch = 'natural' AND id LIKE '%7' AND text <> 'A'""")
+def behavior_violations(spark, d):
+    """Answers stored by their first letter, a metric one too high, and a run without steering that answered otherwise."""
+    known = fx.records(spark, d)
+    base = fx.responses(spark, d, known).where("condition = 'base'")
+    zero = base.withColumn("condition", F.lit("zero")).withColumn("text", F.when((F.col("branch") == "natural") & F.col("id").like("%7"), "A").otherwise(F.col("text")))
+    parsed = text.parse_letter(F.col("text"))
+    stored = base.unionByName(zero).withColumn("parsed", F.when((F.col("condition") == "base") & parsed.isNull() & (F.col("text") != ""), F.upper(F.substring("text", 1, 1))).otherwise(parsed))
+    metrics = behavior.metrics(known, base.unionByName(zero))
+    metrics = metrics.withColumn("pressure_errors", F.col("pressure_errors") + F.when(F.col("condition") == "base", 1).otherwise(0))
+    return artifacts.behavior_violations(known, stored, metrics, "zero")
+
+
+@query(f"""WITH {TRIALS}, t AS (SELECT * FROM tokens) SELECT 'token' AS rule, concat_ws('/', 'observed', '1', alpha::DOUBLE, context_id, pos) AS about FROM t WHERE pos = 3 AND context_id % 5 = 1 AND forward_kl > 0
+UNION ALL SELECT 'trial', 'observed/1/-2.0'""")
+def trial_violations(spark, d):
+    """Some token divergences doubled, and a trial's 95 % quantile moved."""
+    logits = _trials(spark, d)
+    tokens = divergence.tokens(logits, [*report.TRIAL, "context_id", "pos"])
+    doubled = F.when((F.col("pos") == 3) & (F.col("context_id") % 5 == 1), 2 * F.col("forward_kl")).otherwise(F.col("forward_kl"))
+    trials = report.trial_divergence(logits, report.TRIAL).withColumn("macro_p95", F.col("macro_p95") + F.when(F.col("alpha") == -2.0, 1e-9).otherwise(0.0))
+    return artifacts.trial_violations(logits, tokens.withColumn("forward_kl", doubled), trials, report.TRIAL)
+
+
+@query(f"""WITH {sql.GSM} SELECT 'example' AS rule, condition || '/' || doc_id AS about FROM gsm_scored WHERE doc_id % 6 = 5 AND NOT flexible_correct
+UNION ALL SELECT 'summary', 'steered/strict'""")
+def scored_violations(spark, d):
+    """Wrong answers marked as right, and a summary that counts one more."""
+    examples = _scored(spark, d)
+    marked = examples.withColumn("flexible_correct", F.col("flexible_correct") | (F.col("doc_id") % 6 == 5))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("filter"), F.col(f"{k}_correct").alias("ok")) for k in ("strict", "flexible")))).alias("k")
+    counted = examples.select("condition", kinds).groupBy("condition", F.col("k.filter").alias("filter")).agg(F.count_if("k.ok").alias("correct"), F.count("*").alias("total"))
+    stored = counted.select("condition", "filter", "correct", "total", stats.wilson(F.col("correct"), F.col("total")).alias("w")).select("condition", "filter", "correct", "total", "w.*")
+    stored = stored.withColumn("correct", F.col("correct") + F.when((F.col("condition") == "steered") & (F.col("filter") == "strict"), 1).otherwise(0))
+    return artifacts.scored_violations(marked, stored)
+
+
+@query("""SELECT 'identity' AS rule, 'model' AS about UNION ALL SELECT 'identity', 'seed' UNION ALL SELECT 'sample', 'alpha=-1.0' WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 13 = 4) > 0
+UNION ALL SELECT 'order', 'alpha=-1.0' UNION ALL SELECT 'gap', 'alpha=-2.0' UNION ALL SELECT 'gap', 'alpha=-1.0'""")
+def resume_violations(spark, d):
+    """A checkpoint of another model, with examples lost and a condition skipped."""
+    sample = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    planned = spark.createDataFrame([(k, f"alpha={a}") for k, a in enumerate((0.0, -2.0, -1.0, -0.5))], "ord int, condition string")
+    now = spark.createDataFrame([("model", "a"), ("schema", "1"), ("seed", "7")], "name string, value string")
+    then = spark.createDataFrame([("model", "b"), ("schema", "1")], "name string, value string")
+    done = sample.select(F.lit(0).alias("ord"), F.lit("alpha=0.0").alias("condition"), "doc_id").unionByName(sample.where("doc_id % 13 <> 4").select(F.lit(3).alias("ord"), F.lit("alpha=-1.0").alias("condition"), "doc_id"))
+    return artifacts.resume_violations(now, then, sample, done, planned)
+
+
+@query("""SELECT 'missing' AS rule, '2/mode/absent' AS about UNION ALL SELECT 'missing', l || '/mode/absent' FROM (VALUES (0), (1), (3)) t(l) UNION ALL SELECT 'extra', '3/mode/wrong_suggest' UNION ALL SELECT 'extra', l || '/mode/wrong_suggest' FROM (VALUES (0), (1), (2)) t(l)""")
+def grid_violations(spark, d):
+    return artifacts.grid_violations(_probe(spark, d), fx.LAYERS, {"mode": ["doubt", "authority", "absent"]})
+
+
+@query("""WITH t AS (SELECT 'm' || n_nationkey % 4 AS model, CASE WHEN n_nationkey % 4 = 2 THEN 'old' ELSE 'v1' END AS schema_version, (-(n_nationkey // 4))::DOUBLE AS alpha, n_nationkey::DOUBLE AS estimate FROM nation)
+SELECT 'schema' AS rule, model AS about FROM t WHERE schema_version <> 'v1' GROUP BY model
+UNION ALL SELECT 'panel', model || '/' || alpha FROM t WHERE alpha < -4 OR model = 'm3' UNION ALL SELECT 'panel', 'm9/' || a FROM (VALUES (0.0::DOUBLE), (-1.0), (-2.0), (-3.0), (-4.0)) g(a)
+UNION ALL SELECT 'interval', model || '/' || alpha FROM t WHERE estimate >= 20""")
+def report_violations(spark, d):
+    """Reports of four models, of which one has an old schema and one isn't on the panel."""
+    n = F.col("n_nationkey")
+    trials = fx.table(spark, d, "nation").select(
+        F.concat(F.lit("m"), (n % 4).cast("string")).alias("model"), F.when(n % 4 == 2, "old").otherwise("v1").alias("schema_version"), (-F.floor(n / 4)).cast("double").alias("alpha"), n.cast("double").alias("estimate"), F.lit(-1.0).alias("lower"), F.when(n < 22, 19.5).alias("upper")
+    )
+    alphas = [0.0, -1.0, -2.0, -3.0, -4.0]
+    return artifacts.report_violations(trials, ["m0", "m1", "m2", "m9"], alphas, "v1")

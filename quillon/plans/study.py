@@ -90,3 +90,39 @@ def runtime(spark: SparkSession) -> dict:
     """Versions and session settings, for a run's report."""
     settings = {k: v for k, v in spark.sparkContext.getConf().getAll() if k.startswith(("spark.sql.", "spark.executor.", "spark.master"))}
     return {"spark": spark.version, "python": platform.python_version(), "master": spark.sparkContext.master, "settings": dict(sorted(settings.items()))}
+
+
+def with_launch_digest(identity: dict) -> dict:
+    """A launch's identity with the digest of everything else in it."""
+    body = {k: v for k, v in identity.items() if k != "launch_sha256"}
+    return body | {"launch_sha256": canonical_digest(body)}
+
+
+def check_launch(identity: dict, study_sha256: str | None = None) -> dict:
+    """The identity, if its digest is that of its body and it is bound to the study."""
+    if with_launch_digest(identity) != identity:
+        raise ValueError("the launch digest isn't that of its body")
+    if study_sha256 is not None and identity.get("study_sha256") != study_sha256:
+        raise ValueError("the launch belongs to another study")
+    return identity
+
+
+def stage_arguments(kind: str, limit: int | None, batch: int | None) -> tuple[int | None, int | None]:
+    """A confirmatory run takes all records and the study's batch size; only a smoke run is cut short or has another one."""
+    if kind not in ("smoke", "confirmatory"):
+        raise ValueError(f"unknown kind of run: {kind}")
+    for name, value in (("limit", limit), ("batch", batch)):
+        if value is not None:
+            whole(value, 1, name)
+            if kind != "smoke":
+                raise ValueError(f"{name} is for smoke runs alone")
+    if kind == "smoke" and limit is None:
+        raise ValueError("a smoke run needs a limit")
+    return limit, batch
+
+
+def task_contract(found: dict, pinned: dict) -> dict:
+    """A task's settings, equal to the study's field by field; what differs is named."""
+    if wrong := sorted(k for k in found.keys() | pinned.keys() if type(found.get(k)) is not type(pinned.get(k)) or found.get(k) != pinned.get(k)):
+        raise ValueError(f"the task differs from the study in {wrong}")
+    return found

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, text, vectors
-from quillon.operators import auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, splits, stats, steering, verify
+from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, splits, stats, steering, verify
 from quillon.sources import files
 from quillon.streaming import responses as streaming
 
@@ -642,3 +642,60 @@ def test_common_subsequence_and_family_counts(spark):
     df = spark.createDataFrame([(f"i{k}", "s", t) for k, t in enumerate(texts)], "id string, src string, key string")
     assert tuple(near_duplicates.family_counts(df, "id", "src", "key").first()) == (1, 2, 2, 4)
     assert tuple(near_duplicates.family_counts(df.limit(0), "id", "src", "key").first()) == (0, 0, 0, 0)
+
+
+# --- artifacts
+
+
+def test_zip_contract_and_splits(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
+    b = spark.createDataFrame([(2, 20.0), (1, 10.0)], "k int, b double")
+    assert {tuple(r) for r in artifacts.zip_by_key(a, b, ["k"]).collect()} == {(1, "x", 10.0), (2, "y", 20.0)}
+    for wrong in (b.where("k = 1"), b.union(b.limit(1)), b.union(spark.createDataFrame([(3, 1.0)], b.schema))):
+        with pytest.raises(PySparkException, match="no pair for"):
+            artifacts.join_reports(a, wrong, "k").collect()
+    assert artifacts.contract(a, ["a"]).columns == ["a"]
+    with pytest.raises(ValueError, match="lack"):
+        artifacts.contract(a, ["a", "c"])
+    with pytest.raises(PySparkException, match="lacks a"):
+        artifacts.contract(a.withColumn("a", F.lit(None).cast("string")), ["a"]).collect()
+    rows = spark.createDataFrame([("1", "fit"), ("2", "fit"), ("3", "test")], "id string, split string")
+    digest = artifacts.sample_digest(rows.where("split = 'fit'"), "id").first()["digest"]
+    assert artifacts.allowed_split(rows, "fit", ("fit",), 2, digest).count() == 2
+    assert artifacts.sample_digest(rows.where("split = 'fit'").orderBy(F.desc("id")), "id").first()["digest"] == digest
+    with pytest.raises(PermissionError):
+        artifacts.allowed_split(rows, "test", ("fit",), 1, digest)
+    for n, h in ((3, digest), (2, "0" * 64)):
+        with pytest.raises(PySparkException, match="other"):
+            artifacts.allowed_split(rows, "fit", ("fit",), n, h).collect()
+
+
+def test_sound_artifacts_have_no_violations(spark, study):
+    known, answers = study
+    stored = answers.withColumn("parsed", text.parse_letter(F.col("text")))
+    assert artifacts.behavior_violations(known, stored, behavior.metrics(known, answers)).count() == 0
+    pairs = spark.createDataFrame([("a", "1"), ("b", None)], "name string, value string")
+    assert artifacts.same_pairs(pairs, pairs, "fingerprint").count() == 0
+    assert [tuple(r) for r in artifacts.same_pairs(pairs, pairs.where("name = 'a'"), "fingerprint").collect()] == [("fingerprint", "b")]
+    path = spark.createDataFrame([(json.dumps({"a": {"b": ["/root/x/y.json", "z"]}}),)], "d string")
+    assert json.loads(path.select(artifacts.portable(F.col("d"), "/root/x")).first()[0]) == {"a": {"b": ["y.json", "z"]}}
+
+
+def test_launch_and_stage_arguments():
+    from quillon.plans import study as plan
+
+    launch = plan.with_launch_digest({"study_sha256": "s", "model": "m"})
+    assert plan.check_launch(launch, "s") == launch and plan.with_launch_digest(launch) == launch
+    for bad in ({**launch, "model": "n"}, {k: v for k, v in launch.items() if k != "launch_sha256"}):
+        with pytest.raises(ValueError, match="digest"):
+            plan.check_launch(bad)
+    with pytest.raises(ValueError, match="another study"):
+        plan.check_launch(launch, "t")
+    assert plan.stage_arguments("smoke", 3, None) == (3, None) and plan.stage_arguments("confirmatory", None, None) == (None, None)
+    for bad in (("smoke", None, None), ("confirmatory", 3, None), ("confirmatory", None, 2), ("other", None, None), ("smoke", 0, None)):
+        with pytest.raises(ValueError):
+            plan.stage_arguments(*bad)
+    assert plan.task_contract({"a": 1}, {"a": 1}) == {"a": 1}
+    for bad in ({"a": True}, {"a": 1, "b": 2}, {}):
+        with pytest.raises(ValueError, match="differs"):
+            plan.task_contract(bad, {"a": 1})
