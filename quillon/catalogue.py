@@ -142,7 +142,7 @@ def split_counts(spark, d):
     return splits.partition(fx.questions(spark, d)).groupBy("source_dataset", "split").agg(F.count("*").alias("n"))
 
 
-QUOTAS = {lang: (7, 4, 11 + k) for k, lang in enumerate(("de", "en", "es", "fr"))}
+QUOTAS = {lang: (2, 1, 3 + k) for k, lang in enumerate(("de", "en", "es", "fr"))}
 
 
 @query(f"""WITH {SPLITS}, q(source_dataset, a, b, c) AS (VALUES {", ".join(f"('{lang}', {a}, {b}, {c})" for lang, (a, b, c) in QUOTAS.items())}),
