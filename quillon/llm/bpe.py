@@ -5,8 +5,9 @@ of neighbours; the smallest rank is found by a scan, its boundary is deleted, an
 again, until no pair can merge.  numpy does this for many distinct words at once, a row for each word.  The cost of the
 scan grows with the square of the word's length, so words over SHORT_WORD bytes go through a heap and a linked list.
 
-A null text is the empty text: no ids, empty decoded text.  Rows keep their multiplicity; other columns are carried
-along unchanged.  Special tokens in a text are matched before splitting, as the tokenizer's file says.
+A null text is the empty text: no ids, empty decoded text; an empty table gives no rows.  Rows keep their multiplicity;
+pairs that tie in rank merge from the left.  Other columns are carried along unchanged, but those with the names of results
+(`ids` and the others) are left out.  Special tokens in a text are matched before splitting, as the tokenizer's file says.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ window's worth of them is cut into powers of two, which need no padding.
 Ranks within a length come from per-task counters and a running sum over tasks, so a length that a third of all
 documents share is no bottleneck.  The plan has at most a few ten thousand rows, whatever the corpus.
 
-A null text is the empty text: one token, the end id.  Repeated rows are packed as often as they occur; other columns
-are carried along.
+A null text is the empty text: one token, the end id.  Repeated rows are packed as often as they occur; rests that tie in
+length take their places by the order of tasks.  Other columns are carried along, but those with the names of results are
+left out.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
