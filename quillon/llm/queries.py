@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc
+from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
         "op10_secrets": secrets.op10_secrets,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
