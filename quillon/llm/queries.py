@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, warc, whitening
+from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, trie, warc, whitening
 
 
 def queries() -> dict:
@@ -18,10 +18,12 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_secrets": secrets.op10_secrets,
         "op11_whitening": whitening.op11_whitening,
+        "op12_prefix_trie": trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_warc": warc.OP7_SQL,
+        "op12_prefix_trie": trie.OP12_SQL,
     }
