@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, trie, warc, whitening
+from quillon.llm import bpe, html_extract, langid, lm_scoring, media, ngram_join, packing, pii, quality, secrets, trie, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_secrets": secrets.op10_secrets,
         "op11_whitening": whitening.op11_whitening,
         "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_html": html_extract.op13_html,
     }
 
 
