@@ -69,7 +69,7 @@ class Layout:
 
     def footer(self) -> str:
         inside = self.draw.choice([
-            f"&copy; {self.words(1, 3)} &middot; {self.sentence(4, 30)}", f"<p>&copy; 2020 {self.words(1, 4)}</p>{self.links(3)}",
+            f"&copy; {self.words(1, 3)} &middot; {self.sentence(4, 30)}", f"<p>&copy; 2020 {self.words(1, 4)}</p>{self.links(3)}", f"Copyright {self.words(1, 5)}",
             f"<p>{self.sentence(5, 25)}</p><p>{self.sentence(5, 25)}</p>", f"<div>{self.links(5)}</div>{self.words(2, 8)}",
         ])
         return self.box("footer", "footer footer div", inside)

@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_warc": warc.OP7_SQL,
         "op12_prefix_trie": trie.OP12_SQL,
+        "op13_html": html_extract.OP13_SQL,
     }
