@@ -375,7 +375,7 @@ FROM answers JOIN records USING (id) GROUP BY ALL""")
 def collected_answers(spark, d):
     """A provider's answers in all branches, with the labels that directions are learned from."""
     known = _chat_records(spark, d)
-    answers = collection.collect(known, collection.baseline(known, hash_provider), hash_provider, "base")
+    answers = collection.collect(known, collection.baseline(known, hash_provider), hash_provider, "base", own=True)
     judged = answers.join(known.select("id", "correct_option"), "id").withColumn("parsed", text.parse_letter(F.col("text")))
     counted = judged.groupBy("branch", "mode").agg(F.count("*").alias("n"), F.count_if(F.col("parsed") == F.col("correct_option")).alias("correct"), F.count_if(F.col("parsed").isNull()).alias("invalid"))
     caved = collection.observations(known, answers).groupBy(F.lit("pressure").alias("branch"), "mode").agg(F.count_if("caved").alias("caved"))

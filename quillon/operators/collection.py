@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.cluster import materialise
 from quillon.functions.text import MODES, baseline_prompt, chat, parse_letter, pressure_prompt, render_chat
 from quillon.sources.provider import generate
 
@@ -42,14 +43,21 @@ def chats(records: DataFrame, base: DataFrame, modes: tuple[str, ...] = MODES) -
 
 
 def baseline(records: DataFrame, make: Callable, batch: int = 64) -> DataFrame:
-    """id, text: the neutral answers of a provider."""
-    return generate(records.select("id", render_chat(chat(("user", baseline_prompt()))).alias("prompt")), make, batch)
+    """id, text: the neutral answers of a provider, written once."""
+    return materialise(generate(records.select("id", render_chat(chat(("user", baseline_prompt()))).alias("prompt")), make, batch), "baseline")
 
 
-def collect(records: DataFrame, base: DataFrame, make: Callable, condition: str, modes: tuple[str, ...] = MODES, batch: int = 64) -> DataFrame:
-    """condition, branch, mode, id, text, prompt_sha256: a provider's answers to all chats that the base's answers ask for."""
+def collect(records: DataFrame, base: DataFrame, make: Callable, condition: str, modes: tuple[str, ...] = MODES, batch: int = 64, own: bool = False) -> DataFrame:
+    """condition, branch, mode, id, text, prompt_sha256: a provider's answers to all chats that the base's answers ask for.
+
+    own: the run is the base's, whose neutral answers are taken over, not asked for again.  Answers are written once: a
+    provider isn't asked again by what reads them, and a model that samples says the same to all."""
     asked = chats(records, base, modes).select("id", "branch", "mode", F.sha2("prompt", 256).alias("prompt_sha256"), "prompt")
-    return generate(asked, make, batch).select(F.lit(condition).alias("condition"), "branch", "mode", "id", "text", "prompt_sha256")
+    told = generate(asked.where("branch <> 'neutral'") if own else asked, make, batch)
+    if own:
+        neutral = asked.where("branch = 'neutral'").drop("prompt").join(base.select("id", "text"), "id")
+        told = told.unionByName(neutral.select(*told.columns))
+    return materialise(told.select(F.lit(condition).alias("condition"), "branch", "mode", "id", "text", "prompt_sha256"), "answers")
 
 
 def observations(records: DataFrame, answers: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.cluster import materialise
 from quillon.operators import divergence, stats
 
 TRIAL = ["estimator", "layer", "alpha"]
@@ -13,7 +14,7 @@ TRIAL = ["estimator", "layer", "alpha"]
 def trial_divergence(logits: DataFrame, trial: list[str]) -> DataFrame:
     """trial, prompt-macro and token-micro summaries of forward KL, mean agreement, greatest logit difference: from
     tokens to contexts to trials.  logits: trial, context_id, pos, base, steered."""
-    tokens = divergence.tokens(logits, [*trial, "context_id", "pos"])
+    tokens = materialise(divergence.tokens(logits, [*trial, "context_id", "pos"]), "trial-tokens")  # three summaries read it
     named = lambda df, kind: df.select(*trial, *(F.col(c).alias(f"{kind}_{c}") for c in ("mean", "median", "p95", "n")))
     macro = named(stats.macro(tokens, trial, "context_id", "forward_kl"), "macro")
     micro = named(stats.micro(tokens, trial, "forward_kl"), "micro")

@@ -7,11 +7,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillon.functions.cluster import ship
+
 
 def generate(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 64) -> DataFrame:
     """prompts (key columns and prompt) with `text`; the prompt isn't carried along.
 
     make: called in the task, so that a model loads once for many batches; its result maps prompts to texts in order."""
+    ship(prompts.sparkSession)
     keep = [c for c in prompts.columns if c not in ("prompt", "text")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

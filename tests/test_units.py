@@ -80,7 +80,7 @@ def numpy_interval(deltas, strata, iterations, seed):
 
 def test_paired_bootstrap(spark):
     pairs = spark.createDataFrame([("m", k, float(b), float(c)) for k, (b, c) in enumerate([(1, 0), (0, 0), (1, 1), (0, 0)])], "metric string, id int, base double, steered double")
-    r = one(bootstrap.paired(pairs, ["metric"], "id", 200, {"m": 3}))
+    r = one(bootstrap.reproduced(pairs, ["metric"], "id", None, 200, {"m": 3}))
     lower, upper = numpy_interval(np.array([-1.0, 0, 0, 0]), ["x"] * 4, 200, 3)
     assert (r["observed"], r["n_clusters"]) == (-0.25, 4) and math.isclose(r["lower"], lower) and math.isclose(r["upper"], upper)
 
@@ -89,12 +89,49 @@ def test_stratified_bootstrap_and_partitioning(spark):
     rng = random.Random(4)
     rows = [("m", f"id{k}", "ab"[k % 2], rng.random(), rng.random()) for k in range(50)]
     df = spark.createDataFrame(rows, "metric string, id string, s string, base double, steered double")
-    got = {tuple(one(bootstrap.stratified(df.repartition(n), ["metric"], "id", "s", 100, {"m": 9}))) for n in (1, 7)}
+    got = {tuple(one(bootstrap.reproduced(df.repartition(n), ["metric"], "id", "s", 100, {"m": 9}))) for n in (1, 7)}
     ordered = sorted(rows, key=lambda r: r[1])
     lower, upper = numpy_interval(np.array([r[4] - r[3] for r in ordered]), [r[2] for r in ordered], 100, 9)
     assert len(got) == 1 and np.allclose(got.pop()[2:4], (lower, upper))
 
 
+def test_distributed_bootstrap_draws_as_a_loop_does(spark, monkeypatch):
+    """Skewed differences, strata of other means, values dealt into many parts: ends and their spread as numpy's."""
+    monkeypatch.setattr(bootstrap, "PART_VALUES", 7)
+    rng = np.random.default_rng(6)
+    rows = [("m", f"id{k}", "ab"[k % 3 == 0], 0.0, float(rng.exponential() + 5 * (k % 3 == 0))) for k in range(120)] * 2
+    df = spark.createDataFrame(rows, "metric string, id string, s string, base double, steered double")
+    got = [tuple(one(bootstrap.stratified(df.repartition(n), ["metric"], "id", "s", 4000, {"m": 9}))) for n in (1, 7)]
+    assert np.allclose(got[0][1:], got[1][1:], rtol=1e-12)
+    _, observed, low, high, n = got[0]
+    deltas, strata = np.array([r[4] for r in rows]), [r[2] for r in rows]
+    lower, upper = numpy_interval(deltas, strata, 4000, 1)
+    assert n == 240 and math.isclose(observed, deltas.mean()) and abs(low - lower) < 0.02 and abs(high - upper) < 0.02 and 0.15 < upper - lower
+
+
+def test_shares_add_up_to_all_draws():
+    sizes = [5, 0, 17, 1, 300, 2, 9]
+    drawn = np.array([bootstrap.shares(sizes, p, 3000, 4, "m", "a") for p in range(len(sizes))])
+    assert (drawn.sum(axis=0) == sum(sizes)).all() and (drawn[1] == 0).all()
+    assert np.allclose(drawn.mean(axis=1), sizes, atol=0.6) and abs(drawn[2].var() - 17 * (1 - 17 / 334)) < 2
+
+
+def test_bootstrap_coverage(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"t{t}", k, 0.0, float(rng.integers(-1, 2))) for t in range(120) for k in range(60)]
+    df = spark.createDataFrame(rows, "metric string, id int, base double, steered double")
+    got = bootstrap.paired(df, ["metric"], "id", 400, {f"t{t}": t for t in range(120)}).collect()
+    assert 0.88 < np.mean([r["lower"] <= 0 <= r["upper"] for r in got]) < 0.99
+
+
+def test_bootstrap_refuses_what_isnt_a_number(spark):
+    schema = "metric string, id int, s string, base double, steered double"
+    for row in (("m", 1, "a", None, 1.0), ("m", 1, "a", 0.0, math.inf), ("m", 1, "", 0.0, 1.0), ("m", 1, None, 0.0, 1.0)):
+        with pytest.raises(PySparkException, match="differences must be finite"):
+            bootstrap.stratified(spark.createDataFrame([row], schema), ["metric"], "id", "s", 10, {"m": 1}).collect()
+    assert bootstrap.stratified(spark.createDataFrame([], schema), ["metric"], "id", "s", 10, {"m": 1}).count() == 0
+
+
 def test_poisson_bootstrap_covers_mean(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(k, 0.0, float(x)) for k, x in enumerate(rng.normal(1, 1, 400))], "id int, base double, steered double")
@@ -203,10 +240,34 @@ def test_sequence_edges_against_all_pairs(spark):
     assert {(r["id_a"], r["id_b"]) for r in near_duplicates.sequence_edges(df, "id", "t").collect()} == want
 
 
+def test_long_sequence_edges_against_all_pairs(spark):
+    """Texts around and over the length from which popular characters are passed over; shared passages, many alphabets."""
+    rng = random.Random(4)
+    alphabets = ["abcde fgh.", "".join(map(chr, range(0x4E00, 0x4E00 + 500))), "ab " * 9 + "xyzw0123456789", "aaaaaaab"]
+    base = ["".join(rng.choice(alphabets[k % 4]) for _ in range(rng.choice([150, 190, 198, 205, 240, 600, 1500]))) for k in range(28)]
+    passage = "".join(rng.choice(alphabets[0]) for _ in range(300))
+    base += [passage + "".join(rng.choice(alphabets[0]) for _ in range(300)) for _ in range(4)]
+
+    def changed(text, share):
+        out = list(text)
+        for _ in range(int(len(out) * share)):
+            out[rng.randrange(len(out))] = rng.choice(["", "q", "e", "1"])
+        return "".join(out)
+
+    texts = [t for b in base for t in (b, changed(b, 0.03), changed(b, 0.1), b[: len(b) * 9 // 10] + b[:20])] + ["a" * 300, "a" * 310, "a" * 199]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    near = lambda a, b: 2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b))
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if near(texts[a], texts[b]) and ratio(texts[a], texts[b]) >= 0.9}
+    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.sequence_edges(df, "id", "t").collect()}
+    assert got == want and len(want) > 60
+    met = near_duplicates.candidates(df.withColumn("n", F.char_length("t")), 0.9).count()
+    assert met < len(texts) ** 2 / 8
+
+
 def test_near_filter_has_token_and_sequence_edges(spark, monkeypatch):
     from quillon import catalogue
 
-    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 7)
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(40)]
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 30))) for _ in range(60)]
@@ -511,7 +572,7 @@ def test_comparison_intervals_against_numpy(spark):
         strata = np.array([r[2] for r in sorted(mine, key=lambda r: r[1])])
         observed, low, high, n = bootstrap.interval(deltas, strata, 300, seed, 0.95)
         r = got[metric]
-        assert (r["n"], r["lower"], r["upper"]) == (n, low, high) and math.isclose(r["delta"], observed, abs_tol=1e-12)
+        assert r["n"] == n and abs(r["lower"] - low) < 0.05 and abs(r["upper"] - high) < 0.05 and math.isclose(r["delta"], observed, abs_tol=1e-12)
 
 
 def test_comparison_wants_the_same_records(spark, study):
@@ -531,7 +592,8 @@ def test_paired_inference_against_numpy(spark):
     _, low, high, _ = bootstrap.interval(d, np.array(["all"] * 40), 500, 9, 0.95)
     up, down = int((d > 0).sum()), int((d < 0).sum())
     p = min(1.0, 2 * sum(math.comb(up + down, i) for i in range(min(up, down) + 1)) / 2 ** (up + down))
-    assert (got["improved"], got["regressed"], got["discordant"], got["lower"], got["upper"]) == (up, down, up + down, low, high)
+    assert (got["improved"], got["regressed"], got["discordant"]) == (up, down, up + down)
+    assert abs(got["lower"] - low) <= 0.051 and abs(got["upper"] - high) <= 0.051  # means are multiples of 1/40
     assert math.isclose(got["delta"], d.mean()) and math.isclose(got["p"], p)
 
 
