@@ -6,19 +6,16 @@ bounded text size, so that memory doesn't grow with the partition or with the nu
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import cluster
+from quillon.functions.cluster import clean, materialise, scratch_path, shared_dir  # noqa: F401
+
 #: ASCII white space, the separator of words in every contract of this subpackage.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 #: Characters of text that a group of rows holds at most (a longer text is a group by itself).
@@ -27,30 +24,17 @@ GROUP_CHARS = 1_000_000
 BROADCAST_ROWS = 500_000
 
 
-_shipped: set[str] = set()
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once an application, and keep Arrow batches of texts small.
+    """Give this package to the executors, and keep Arrow batches of texts small.
 
     Spark's own 10,000 rows a batch are tens of megabytes of text in the JVM and again in Python for each task, so the
-    session's setting is changed to 2,000; another value that the session has been given stays.  The zip is served from the
-    driver's temporary folder for as long as the driver runs."""
+    session's setting is changed to 2,000; another value that the session has been given stays."""
     if spark.conf.get(BATCH, None) == "10000":
         spark.conf.set(BATCH, "2000")
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = Path(folder) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+    cluster.ship(spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,35 +42,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a local master, all of whose
-    tasks run in the driver's process, gets a temporary one; any other master gets an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.gettempdir()}/checkpoints"
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Remove the tables that this application has written to the shared folder; results that read them are gone too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def listed(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """df joined with a written table of 64-bit ids on key: sent to all executors if it is short, else over a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)

@@ -140,7 +140,8 @@ def ratios(labelled: DataFrame) -> list[float]:
 
 
 def total_ratio(value: Column, table: list[float]) -> Column:
-    weights, size = F.array(*map(F.lit, table)), len(ALPHABET)
+    # one literal for the whole table: thousands of them make a plan that is slow to build and to compile
+    weights, size = F.split(F.lit(" ".join(map(repr, map(float, table)))), " ").cast("array<double>"), len(ALPHABET)
     codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
     n = F.size(codes) - 1
     each = F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.element_at(weights, (a - 1) * size + b))
