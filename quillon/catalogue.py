@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, tensors, text, vectors
-from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, verify
+from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, stops, verify
 from quillon.plans import fixture_sql as sql
 from quillon.plans import fixtures as fx
 from quillon.sources import files
@@ -778,10 +778,25 @@ def rounded_values(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", text.rounded12(F.col("o_totalprice") / 7).alias("rounded"))
 
 
+STOPS = ["the th", "ion", "\n", "qqq", " of t"]
+_ENDS = ", ".join(f"CASE WHEN strpos(t, s{k}) > 0 THEN strpos(t, s{k}) + length(s{k}) - 1 END" for k in range(len(STOPS)))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS t, {", ".join(f"replace('{s}', chr(92) || 'n', chr(10)) AS s{k}" for k, s in enumerate(x.replace(chr(10), chr(92) + "n") for x in STOPS))} FROM documents WHERE length(text) > 0),
+e AS (SELECT doc_id, (length(t) + 2) // 3 AS whole, least({_ENDS}) AS done FROM d)
+SELECT doc_id, coalesce((done + 2) // 3, whole)::BIGINT AS n_pieces, done IS NOT NULL AS stopped FROM e""")
+def stop_strings(spark, d):
+    """Texts as streams of pieces of three characters, generated up to a stop string."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text").where(F.length("text") > 0)
+    pieces = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 3))).alias("k"))
+    kept = stops.until_stop(pieces.select("doc_id", "k", F.expr("substring(text, cast(3 * k + 1 as int), 3)").alias("piece")), ["doc_id"], "k", "piece", STOPS)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.bool_or("stops").alias("stopped"))
+
+
 @query()
 def file_manifest(spark, d):
-    files_found = files.manifest(spark, f"{d}/nation.parquet").unionByName(files.manifest(spark, f"{d}/region.parquet"))
-    return files_found.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("path"), "bytes", "sha256")
+    """Every file of the tables."""
+    return files.manifest(spark, d).select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("path"), "bytes", "sha256")
 
 
 # --- reports -------------------------------------------------------------------------------------------------------

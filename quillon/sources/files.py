@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import tempfile
 import time
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from quillon.functions.cluster import ship
+
+#: Bytes of a file that a task holds at once.
+CHUNK = 1 << 20
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -21,15 +32,38 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return parsed.select("r.*")
 
 
-def read_grouped_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, size: int = 4) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, n: the lines of files in path order that aren't blank, and their places from 0.
+
+    Lines are numbered within the split that they are read from and moved by the lines of the splits before, of which there
+    is one row each; no task reads more than its splits."""
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_at")).where(F.trim("value") != "")
+    sizes = lines.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_f", "_b", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_at")) - 1
+    return lines.withColumn("_k", within).join(F.broadcast(offsets), ["_f", "_b"]).select("value", (F.col("_before") + F.col("_k")).alias("n"))
+
+
+def read_grouped_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, size: int = 4, ordered: tuple[str, list] | None = None, equal: str | None = None) -> DataFrame:
     """group, rows (array of size structs): every `size` consecutive lines are a group.
 
-    Line numbers need the files' order, which textFile keeps; an incomplete last group fails when it's used."""
-    numbered = spark.sparkContext.textFile(path).filter(lambda s: s.strip()).zipWithIndex()
-    lines = spark.createDataFrame(numbered, "value string, n bigint")
-    parsed = lines.select((F.floor(F.col("n") / size)).alias("group"), (F.col("n") % size).alias("place"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    ordered: a field and the values that it must have in a group's rows, in order; equal: a field that must be the same in
+    all of them (null equals null).  A group that breaks either, or an incomplete last one, fails when it's used."""
+    parsed = numbered_lines(spark, path).select((F.floor(F.col("n") / size)).alias("group"), (F.col("n") % size).alias("place"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
     grouped = parsed.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "r"))), lambda x: x["r"]).alias("rows"))
-    return grouped.select("group", F.when(F.size("rows") == size, F.col("rows")).otherwise(F.raise_error(F.lit("incomplete group")).cast(grouped.schema["rows"].dataType)).alias("rows"))
+    kind = grouped.schema["rows"].dataType
+    broken = lambda said: F.raise_error(F.concat(F.lit(f"{said} in group "), F.col("group").cast("string"))).cast(kind)
+    checked = F.when(F.size("rows") != size, broken("incomplete rows"))
+    if ordered:
+        field, values = ordered
+        wrong = [~F.col("rows")[k].getField(field).eqNullSafe(F.lit(v)) for k, v in enumerate(values)]
+        checked = checked.when(F.array_contains(F.array(*wrong), True), broken(f"another order of {field}"))
+    if equal:
+        differs = F.exists("rows", lambda r: ~r[equal].eqNullSafe(F.col("rows")[0].getField(equal)))
+        checked = checked.when(differs, broken(f"{equal} differs"))
+    return grouped.select("group", checked.otherwise(F.col("rows")).alias("rows"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: str) -> None:
@@ -48,10 +82,34 @@ def write_tensor(df: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """path (without the prefix), bytes, sha256 of every file below path."""
+    """path (without the prefix), bytes, sha256 of every file below path.
+
+    Files of a mounted file system are read by the task in pieces of CHUNK bytes, so their size has no bound; those of
+    another store come as one value, of 2 GB at most."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    mounted = F.col("path").startswith("file:")
+    listed = files.where(mounted).select("path", F.col("length").alias("bytes")).repartition(max(2, spark.sparkContext.defaultParallelism), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                state = hashlib.sha256()
+                with open("/" + name.removeprefix("file:").lstrip("/"), "rb") as f:
+                    while piece := f.read(CHUNK):
+                        state.update(piece)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+    # Spark's scans pass over empty files, its listing doesn't
+    names = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(files.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("long").alias("bytes"), F.lit(hashlib.sha256(b"").hexdigest()).alias("sha256"))
+    streamed = listed.mapInArrow(run, "path string, bytes long, sha256 string")
+    whole = files.where(~mounted).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     name = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(F.replace(name, F.lit(prefix), F.lit("")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return streamed.union(whole).union(empty).select(F.replace(name, F.lit(prefix), F.lit("")).alias("path"), "bytes", "sha256")
 
 
 def write_report(path: str, payload: dict) -> None:
@@ -104,8 +162,6 @@ def bundle(folder: str, target: str) -> None:
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of the members of a ZIP."""
-    import hashlib
-
     with zipfile.ZipFile(path) as z:
         rows = [(i.filename, i.file_size, hashlib.sha256(z.read(i)).hexdigest()) for i in z.infolist()]
     return spark.createDataFrame(rows, "path string, bytes bigint, sha256 string")

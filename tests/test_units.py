@@ -428,6 +428,13 @@ def test_jsonl(spark, tmp_path):
     assert [[x["x"] for x in g["rows"]] for g in groups] == [[0, 1, 2, 3], [4, 5, 6, 7]]
     with pytest.raises(PySparkException):
         files.read_grouped_jsonl(spark, str(path), "x int", 3).collect()
+    path.write_text("\n\n".join(json.dumps({"x": k % 2, "y": k // 2 if k != 5 else 7}) for k in range(8)))
+    read = lambda **k: files.read_grouped_jsonl(spark, str(path), "x int, y int", 2, **k)
+    assert [[r["x"] for r in g["rows"]] for g in read(ordered=("x", [0, 1])).orderBy("group").collect()] == [[0, 1]] * 4
+    with pytest.raises(PySparkException, match="another order of x in group"):
+        read(ordered=("x", [1, 0])).collect()
+    with pytest.raises(PySparkException, match="y differs in group 2"):
+        read(equal="y").collect()
     path.write_text("[1]\nnot json\n")
     with pytest.raises(PySparkException):
         files.read_jsonl(spark, str(path), "x int").collect()
@@ -471,6 +478,92 @@ def test_tensor_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(layer" in layer._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    want = []
+    for name in ("a", "b", "c"):
+        lines = [f"{name}{k} " + "x" * (k % 7) for k in range(400)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        want += lines
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = files.numbered_lines(spark, str(tmp_path)).orderBy("n").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r["n"] for r in got] == list(range(1200)) and [r["value"] for r in got] == want
+
+
+def test_manifest_reads_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "d e").mkdir()
+    (tmp_path / "d e" / "f%20.bin").write_bytes(bytes(range(256)) * 9000)
+    (tmp_path / "none").write_bytes(b"")
+    got = {r["path"]: (r["bytes"], r["sha256"]) for r in files.manifest(spark, str(tmp_path), f"{tmp_path}/").collect()}
+    assert {v for v in got.values()} == {(2304000, hashlib.sha256(bytes(range(256)) * 9000).hexdigest()), (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_ordered_digests_over_batches_and_groups(spark):
+    import hashlib
+
+    rows = [(f"g{k % 3}" if k % 3 else None, k // 2, f"v{k % 11}" if k % 5 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, o int, v string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["g"]: (r["n"], r["digest"]) for r in hashing.ordered_digest(df, "v", "o", ["g"]).collect()}
+        whole = one(hashing.ordered_digest(df, "v", "o"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    digest = lambda part: hashlib.sha256("".join(f"{v}\n" for _, v in sorted((o, v) for _, o, v in part if v is not None)).encode()).hexdigest()
+    assert got == {g: (100, digest([r for r in rows if r[0] == g])) for g in (None, "g1", "g2")}
+    assert (whole["n"], whole["digest"]) == (300, digest(rows))
+    assert tuple(one(hashing.ordered_digest(df.limit(0), "v", "o"))) == (0, hashlib.sha256(b"\n").hexdigest())
+    assert hashing.ordered_digest(df.limit(0), "v", "o", ["g"]).count() == 0
+
+
+def test_stop_strings_on_every_split(spark):
+    """Any cut of a text into pieces ends with the piece in which the first stop string is complete."""
+    from quillon.operators import stops
+
+    text, ends = "abcabdab\n\nQ:x", ["abd", "b\n\nQ", "bd", "zz"]
+    rows, want = [], {}
+    draw = random.Random(3)
+    cuts = [[k] for k in range(1, len(text))] + [sorted(draw.sample(range(1, len(text)), draw.randint(1, 8))) for _ in range(40)]
+    for stream, cut in enumerate(cuts):
+        pieces = [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)])]
+        pieces.insert(draw.randint(0, len(pieces)), draw.choice(["", None]))
+        rows += [(stream, k, p) for k, p in enumerate(pieces)]
+        want[stream] = next((k + 1 for k in range(len(pieces)) if any(s in "".join(p or "" for p in pieces[: k + 1]) for s in ends)), len(pieces))
+    df = spark.createDataFrame(rows, "stream int, k int, piece string").repartition(3)
+    got = stops.until_stop(df, ["stream"], "k", "piece", ends).collect()
+    assert {s: sum(r["stream"] == s for r in got) for s in want} == want and sum(r["stops"] for r in got) == len(cuts)
+    assert stops.until_stop(df, ["stream"], "k", "piece", []).count() == stops.until_stop(df, ["stream"], "k", "piece", ["nowhere"]).count() == len(rows)
+    with pytest.raises(ValueError):
+        stops.Automaton([""])
+
+
+def test_provider_is_asked_once_for_each_prompt(spark, tmp_path):
+    from quillon import catalogue
+
+    log = tmp_path / "asked"
+
+    def counted():
+        def told(prompts):
+            with open(log, "a") as f:
+                f.writelines(f"{hash(p)}\n" for p in prompts)
+            return ["A" for _ in prompts]
+
+        return told
+
+    known = catalogue._chat_records(spark, "/root/testdata/sf0.001").orderBy("id").limit(30)
+    base = collection.baseline(known, counted)
+    answers = collection.collect(known, base, counted, "base", own=True)
+    assert answers.groupBy("branch").count().count() >= 3 and answers.where("branch = 'neutral'").count() == 30
+    assert len(log.read_text().splitlines()) == answers.count()
+
+
 def test_digests(spark):
     import hashlib
 
