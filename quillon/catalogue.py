@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, tensors, text, vectors
-from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, ranking, report, splits, stats, steering, stops, verify
+from quillon.operators import artifacts, auroc, behavior, bootstrap, collection, directions, divergence, gates, near_duplicates, nested, ranking, report, splits, stats, steering, stops, verify
 from quillon.plans import fixture_sql as sql
 from quillon.plans import fixtures as fx
 from quillon.sources import files
@@ -778,6 +778,23 @@ def rounded_values(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", text.rounded12(F.col("o_totalprice") / 7).alias("rounded"))
 
 
+@query("""SELECT o_orderkey, path, rule FROM orders, (VALUES
+  ('price/0', 'value', 3), ('done', 'kind', 5), ('price', 'value', 7), ('price/1', 'extra', 7), ('who', 'missing', 11)  ) v(path, rule, k)
+WHERE o_orderkey % k = 0 AND NOT (path = 'price/0' AND o_totalprice = 0)
+UNION ALL SELECT o_orderkey, '', 'value' FROM orders WHERE o_orderkey % 11 = 0""")
+def nested_violations(spark, d):
+    """Documents with numbers changed beyond and within the tolerance, a boolean made a number, an entry added, a key left out."""
+    orders, k = fx.table(spark, d, "orders"), F.col("o_orderkey")
+    price = F.col("o_totalprice")
+    left = orders.select(k, F.to_json(F.struct(F.array(price).alias("price"), F.lit(True).alias("done"), F.col("o_orderstatus").alias("who"))).alias("doc"))
+    changed = F.when(k % 3 == 0, price * (1 + 1e-9)).otherwise(price * (1 + 1e-14))
+    done = F.when(k % 5 == 0, "1").otherwise("true")
+    more = F.when(k % 7 == 0, F.array(changed, F.lit(0.0))).otherwise(F.array(changed))
+    named = F.when(k % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(',"who":'), F.to_json(F.array("o_orderstatus")).substr(F.lit(2), F.length(F.to_json(F.array("o_orderstatus"))) - 2)))
+    right = orders.select(k, F.concat(F.lit('{"price":'), F.to_json(more), F.lit(',"done":'), done, named, F.lit("}")).alias("doc"))
+    return nested.violations(left, right, "o_orderkey", "doc")
+
+
 STOPS = ["the th", "ion", "\n", "qqq", " of t"]
 _ENDS = ", ".join(f"CASE WHEN strpos(t, s{k}) > 0 THEN strpos(t, s{k}) + length(s{k}) - 1 END" for k in range(len(STOPS)))
 

@@ -564,6 +564,30 @@ def test_provider_is_asked_once_for_each_prompt(spark, tmp_path):
     assert len(log.read_text().splitlines()) == answers.count()
 
 
+def test_nested_equality(spark):
+    from quillon.operators import nested
+
+    deep = "[" * 400 + "1" + "]" * 400
+    pairs = [
+        ('{"a": [1, true, null, {"b/c": "x"}]}', '{"a": [1.0000000000001, true, null, {"b/c": "x"}]}', set()),
+        ('{"a": 1}', '{"a": true}', {("a", "kind")}),
+        ('{"a": 1, "b": {}}', '{"a": 1.000001, "b": []}', {("a", "value"), ("b", "kind")}),
+        ('{"a": [1, 2]}', '{"a": [1]}', {("a", "value"), ("a/1", "missing")}),
+        ('{"b/c": null, "~": 0}', '{"b/c": "null", "~": -1e-13}', {("b~1c", "kind")}),
+        ('"x"', '"y"', {("", "value")}),
+        ("1e999", "1e999", set()),
+        ("1" + "0" * 400, "1" + "0" * 399 + "1", {("", "value")}),
+        (deep, deep, set()),
+        (None, "{}", {("", "extra")}),
+        (None, None, set()),
+    ]
+    side = lambda k: spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "id int, doc string")
+    got = nested.violations(side(0), side(1), "id", "doc").collect()
+    assert {i: {(r["path"], r["rule"]) for r in got if r["id"] == i} for i in range(len(pairs))} == {i: p[2] for i, p in enumerate(pairs)}
+    with pytest.raises(PySparkException):
+        nested.values_of(spark.createDataFrame([(1, "{")], "id int, doc string"), "id", "doc").collect()
+
+
 def test_digests(spark):
     import hashlib
 
