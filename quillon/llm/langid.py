@@ -13,7 +13,8 @@ SAMPLE_ROWS / CENTROIDS languages each has fewer centroids, and one at least.
 
 A text that is null or has no letter is `und` with score 0 and rejected.  Without any training text all are `und`.
 Ties go to the language that sorts first.  Repeated rows count as often as they occur, but are in the sample once;
-other columns are carried along, but those with the names of results are left out.  An empty table gives no rows.
+other columns are carried along, but those with the names of results are left out.  Texts of any length are read whole.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

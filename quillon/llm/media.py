@@ -13,7 +13,7 @@ of scans; a file without restart markers is one interval, and slower.
 
 The luminance thumbnail needs the DC coefficients alone: a pixel for each block.  Features: dimensions, a 64-bit
 difference hash of the thumbnail and a digest of it.  A null text is the empty text, which is one unit of spaces; a null
-file gives nulls.  Repeated rows give equal values; other columns are carried along, but those with the names of results
+file gives nulls.  Nothing is ranked, so ties have no part.  Repeated rows give equal values; other columns are carried along, but those with the names of results
 are left out.  An empty table gives no rows.
 """
 

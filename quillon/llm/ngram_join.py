@@ -17,6 +17,7 @@ doc_id, nulls last).
 Words are the runs between ASCII white space, in lower case (A-Z).  A text of fewer words than N is one n-gram; one
 without words, or null, has none, no links, and is kept.  Repeated rows are copies of each other.  A document whose
 doc_id is null and that has no links has a null class_id.  Carried columns with the names of results are left out.
+Texts of any length are read whole, with all their n-grams; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ pattern is added.  Candidates in accepted patterns are added as spans of kind `c
 Letters in lower case alone are no candidates.  Word counts and the graph
 cover all documents.
 
-A null text is the empty text and has no spans; an empty table gives no rows.  Rows are judged one by one, repeated ids
+A null text is the empty text and has no spans; an empty table gives no rows.  Texts of any length are read whole.  Rows are judged one by one, repeated ids
 too.  Spans that begin at the same place are in the order of KINDS; an instance that several patterns tie for is one span.
 Other columns are carried along, but those with the names of results are left out.
 """

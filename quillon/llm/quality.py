@@ -8,7 +8,7 @@ low that it would keep more than BAD_KEPT of the bad ones.  Without usable label
 
 A null or empty text has no words, and so fails the base rules.  Scores equal to the bar are kept.  Rows keep their
 multiplicity and other columns are carried along, but those with the names of results are left out; an empty table gives
-no rows.  Labelled ids with contradictory labels, null ids and null labels teach nothing.
+no rows.  Texts of any length are counted whole.  Labelled ids with contradictory labels, null ids and null labels teach nothing.
 """
 
 from __future__ import annotations

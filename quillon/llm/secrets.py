@@ -14,7 +14,7 @@ ratio a character is BAR or more.  Without samples of both labels nothing is add
 Positions come from the gaps between matches: `split` and `regexp_extract_all` see the same leftmost matches, and a
 running sum over a text's matches gives code points.  Sums are taken of texts that have a match to report alone.
 
-A null or empty text has no spans; an empty table gives no rows.  Rows are judged one by one, repeated ids too.  Spans
+A null or empty text has no spans; an empty table gives no rows.  Texts of any length are read whole.  Rows are judged one by one, repeated ids too.  Spans
 that begin at the same place are in the order of KINDS.  Other columns are carried along, but those with the names of
 results are left out.
 """

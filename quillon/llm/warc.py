@@ -13,7 +13,8 @@ more than three records.
 
 Nulls: a null html is an empty payload, a null url or page_id leaves its header out.  Repeated rows are captures of
 their own.  Pages whose page_id is null never are the response that others revisit unless all of their group are null;
-then all are responses.  Other columns aren't archived.  Without pages there are no archives.
+then all are responses.  Other columns aren't archived.  A page of any size is one payload, read whole.  Without
+pages there are no archives.
 """
 
 from __future__ import annotations
