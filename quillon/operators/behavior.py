@@ -123,15 +123,18 @@ def comparison_pairs(records: DataFrame, responses: DataFrame, condition: str) -
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """metric, n, base, steered, delta (condition minus base) of comparison_pairs."""
-    return pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("base").alias("base"), F.avg("steered").alias("steered"), (F.avg("steered") - F.avg("base")).alias("delta"))
+    """metric, n, base, steered, delta (condition minus base) of comparison_pairs; a metric of COMPARED that is about no
+    record has a row of its own, with n 0 and nulls."""
+    whole = pairs.sparkSession.createDataFrame([(m,) for m in COMPARED], "metric string")
+    found = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("base").alias("base"), F.avg("steered").alias("steered"), (F.avg("steered") - F.avg("base")).alias("delta"))
+    return found.join(whole, "metric", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def compare_with_intervals(pairs: DataFrame, modes: tuple[str, ...], iterations: int, seed: int, confidence: float = 0.95) -> DataFrame:
     """The same with lower and upper ends of stratified bootstrap intervals, records being resampled in their sources."""
     seeds = {m: seed + k for k, m in enumerate(COMPARED)} | {f"pressure_error:{m}": seed + MODE_SEED + k for k, m in enumerate(modes)}
     ends = bootstrap.stratified(pairs, ["metric"], "id", "source_dataset", iterations, seeds, confidence)
-    return compare(pairs).join(ends.select("metric", "lower", "upper"), "metric")
+    return compare(pairs).join(ends.select("metric", "lower", "upper"), "metric", "left")
 
 
 def key_mismatches(records: DataFrame, responses: DataFrame, condition: str, branch: str) -> DataFrame:

@@ -692,6 +692,13 @@ def test_comparison_intervals_against_numpy(spark):
         assert r["n"] == n and abs(r["lower"] - low) < 0.05 and abs(r["upper"] - high) < 0.05 and math.isclose(r["delta"], observed, abs_tol=1e-12)
 
 
+def test_comparison_has_a_row_for_every_metric(spark):
+    pairs = spark.createDataFrame([("neutral_accuracy", "r1", "a", 1.0, 0.0), ("pressure_error:doubt", "r1", "a", 1.0, 1.0)], "metric string, id string, source_dataset string, base double, steered double")
+    got = {r["metric"]: r for r in behavior.compare_with_intervals(pairs, ("doubt",), 20, 1).collect()}
+    assert set(got) == {*behavior.COMPARED, "pressure_error:doubt"} and got["neutral_accuracy"]["delta"] == -1.0
+    assert tuple(got["natural_correct_suggestion_update_rate"])[1:] == (0, None, None, None, None, None)
+
+
 def test_comparison_wants_the_same_records(spark, study):
     known, answers = study
     lacking = answers.where("not (condition <> 'base' and branch = 'controlled' and id = 'r1')")
