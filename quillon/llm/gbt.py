@@ -1,7 +1,8 @@
 """Gradient-boosted trees for a binary label, in numpy, flattened into node arrays, with monotonic constraints.
 
 Features are numbers without nulls; of splits of equal gain the first feature and threshold is taken; repeated rows weigh
-as often as they occur; without rows there is nothing to fit, and the caller keeps to its rules"""
+as often as they occur; without rows there is nothing to fit, and the caller keeps to its rules.
+"""
 
 from __future__ import annotations
 
