@@ -84,12 +84,15 @@ def write_tensor(df: DataFrame, path: str) -> None:
 def manifest(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """path (without the prefix), bytes, sha256 of every file below path.
 
-    Files of a mounted file system are read by the task in pieces of CHUNK bytes, so their size has no bound; those of
+    Files of a mounted file system are read by the task in pieces of CHUNK bytes, so their size has no bound, and Spark
+    never reads their contents; a file's digest is a chain over its bytes, so one task reads the whole file.  Files of
     another store come as one value, of 2 GB at most."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    mounted = F.col("path").startswith("file:")
-    listed = files.where(mounted).select("path", F.col("length").alias("bytes")).repartition(max(2, spark.sparkContext.defaultParallelism), "path")
+    # Spark's scans pass over empty files, its listing doesn't
+    names = [re.sub("^file:/+", "file:/", unquote(f)) for f in files.inputFiles()]
+    # one path, one file system; a scan deals files by their sizes, a large one has a task of its own
+    mounted = all(n.startswith("file:") for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +105,15 @@ def manifest(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
                 found.append(state.hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "bytes", "sha256"])
 
-    # Spark's scans pass over empty files, its listing doesn't
-    names = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()]
-    empty = spark.createDataFrame(names, "path string").join(files.select("path"), "path", "left_anti")
+    listed = files.select("path", F.col("length").alias("bytes"))
+    if mounted:
+        digests = listed.mapInArrow(run, "path string, bytes long, sha256 string")
+    else:
+        digests = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame([(n,) for n in names], "path string").join(files.select("path"), "path", "left_anti")
     empty = empty.select("path", F.lit(0).cast("long").alias("bytes"), F.lit(hashlib.sha256(b"").hexdigest()).alias("sha256"))
-    streamed = listed.mapInArrow(run, "path string, bytes long, sha256 string")
-    whole = files.where(~mounted).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     name = F.regexp_replace("path", "^file:/+", "/")
-    return streamed.union(whole).union(empty).select(F.replace(name, F.lit(prefix), F.lit("")).alias("path"), "bytes", "sha256")
+    return digests.union(empty).select(F.replace(name, F.lit(prefix), F.lit("")).alias("path"), "bytes", "sha256")
 
 
 def write_report(path: str, payload: dict) -> None:

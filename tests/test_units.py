@@ -505,6 +505,19 @@ def test_manifest_reads_in_pieces(spark, tmp_path, monkeypatch):
     assert {v for v in got.values()} == {(2304000, hashlib.sha256(bytes(range(256)) * 9000).hexdigest()), (0, hashlib.sha256(b"").hexdigest())}
 
 
+def test_manifest_reads_no_contents_through_spark(spark, tmp_path):
+    """Contents over the scan's limit can't be read as a value; the digest of a mounted file doesn't need it."""
+    import hashlib
+
+    (tmp_path / "big").write_bytes(b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        got = files.manifest(spark, str(tmp_path), f"{tmp_path}/").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [tuple(r) for r in got] == [("big", 5000, hashlib.sha256(b"x" * 5000).hexdigest())]
+
+
 def test_ordered_digests_over_batches_and_groups(spark):
     import hashlib
 
