@@ -4,6 +4,9 @@ A stop string may begin and end anywhere in pieces, and stop strings may be part
 their streams (a secondary sort) and run through one automaton for all stop strings, whose state is all that is kept of a
 stream, however long.  Null and empty pieces are kept and change nothing; without stop strings, or without one in the
 stream, all pieces stay.  Ties in the order go by the piece.
+
+Consecutive pieces of a stream can come as one row, an array of them (`runs_until_stop`): stop strings are then searched
+for in the bytes of a run, behind as many bytes of the stream as a stop string can begin in.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,3 +87,50 @@ def until_stop(pieces: DataFrame, by: list[str], order: str, piece: str, stops:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(last, pa.bool_())], [*columns, "stops"])
 
     return dealt.mapInArrow(run, T.StructType([*(pieces.schema[c] for c in columns), T.StructField("stops", T.BooleanType())]))
+
+
+def runs_until_stop(runs: DataFrame, by: list[str], order: str, pieces: str, stops: list[str]) -> DataFrame:
+    """The same for runs (by, order, pieces: an array of strings) of consecutive pieces: pieces are cut behind the one that
+    completes a stop string, `stops` is true for its run, and later runs are left out.  A null run is an empty one."""
+    ship(runs.sparkSession)
+    if not all(stops):
+        raise ValueError("a stop string is empty")
+    sought = [s.encode() for s in stops]
+    reach = max(map(len, sought), default=1) - 1
+    columns = [*by, order, pieces]
+    dealt = runs.select(*columns).repartition(*map(F.col, by)).sortWithinPartitions(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, tail, ended = None, b"", False
+        for batch in batches:
+            column = batch.column(len(by) + 1)
+            flat = column.flatten().cast(pa.large_binary())
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False))])
+            data = b"".join(flat.drop_null().to_pylist()) if flat.null_count else _bytes(flat)
+            sizes, last = np.full(batch.num_rows, -1), np.zeros(batch.num_rows, bool)
+            for row, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(by)))) if by else [()] * batch.num_rows):
+                if key != stream:
+                    stream, tail, ended = key, b"", False
+                if ended:
+                    continue
+                a, b = bounds[row], bounds[row + 1]
+                text = tail + data[ends[a] : ends[b]]
+                done = min((at + len(s) for s in sought if (at := text.find(s)) >= 0), default=None)
+                if done is None:
+                    tail, sizes[row] = text[len(text) - reach :] if len(text) > reach else text, b - a
+                else:
+                    ended = last[row] = True
+                    sizes[row] = np.searchsorted(ends[a + 1 : b + 1], ends[a] + done - len(tail)) + 1
+            kept = np.flatnonzero(sizes >= 0)
+            inside = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds)) < np.repeat(sizes, np.diff(bounds))
+            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[kept])]), pa.int32()), column.flatten().filter(pa.array(inside)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(kept)) for i in range(len(by) + 1)), cut, pa.array(last[kept])], [*columns, "stops"])
+
+    return dealt.mapInArrow(run, T.StructType([*(runs.schema[c] for c in columns), T.StructField("stops", T.BooleanType())]))
+
+
+def _bytes(flat: pa.Array) -> bytes:
+    """The values of a large_binary array without nulls, one behind the other."""
+    at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else [0, 0]
+    return flat.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""

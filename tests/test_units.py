@@ -557,6 +557,39 @@ def test_stop_strings_on_every_split(spark):
         stops.Automaton([""])
 
 
+def test_stop_strings_in_runs_of_pieces(spark):
+    """Runs give the pieces that single pieces do, wherever a stream is cut into pieces and these into runs."""
+    from quillon.operators import stops
+
+    text, ends = "añcabdab\n\nQ:x😀z", ["abd", "b\n\nQ", "bd", "zz", "😀z"]
+    draw, flat, runs = random.Random(5), [], []
+    for stream in range(60):
+        whole = text if stream % 3 else text[3:].replace("abd", "ab")
+        cut = sorted(draw.sample(range(1, len(whole)), draw.randint(1, 9)))
+        pieces = [whole[a:b] for a, b in zip([0, *cut], [*cut, len(whole)])]
+        pieces.insert(draw.randint(0, len(pieces)), draw.choice(["", None]))
+        flat += [(stream, k, p) for k, p in enumerate(pieces)]
+        halves = draw.randint(0, len(pieces))
+        runs += [(stream, 0, pieces[:halves]), (stream, 1, None), (stream, 2, pieces[halves:])]
+    one_by_one = stops.until_stop(spark.createDataFrame(flat, "stream int, k int, piece string"), ["stream"], "k", "piece", ends).collect()
+    got = stops.runs_until_stop(spark.createDataFrame(runs, "stream int, k int, pieces array<string>").repartition(3), ["stream"], "k", "pieces", ends).collect()
+    for stream in range(60):
+        want = [(r["piece"], r["stops"]) for r in sorted((r for r in one_by_one if r["stream"] == stream), key=lambda r: r["k"])]
+        mine = sorted((r for r in got if r["stream"] == stream), key=lambda r: r["k"])
+        assert [p for r in mine for p in r["pieces"] or []] == [p for p, _ in want]
+        assert any(r["stops"] for r in mine) == any(e for _, e in want)
+    assert stops.runs_until_stop(spark.createDataFrame(runs, "stream int, k int, pieces array<string>"), ["stream"], "k", "pieces", []).count() == len(runs)
+    with pytest.raises(ValueError):
+        stops.runs_until_stop(spark.createDataFrame(runs, "stream int, k int, pieces array<string>"), ["stream"], "k", "pieces", [""])
+
+
+def test_stop_strings_query_counts_no_place_from_the_start(spark):
+    from quillon import catalogue
+
+    plan = catalogue.stop_strings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan and "regexp_extract_all" in plan
+
+
 def test_provider_is_asked_once_for_each_prompt(spark, tmp_path):
     from quillon import catalogue
 
