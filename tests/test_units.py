@@ -940,3 +940,24 @@ def test_records_are_ranked_without_their_texts(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     below = plan.split("Join")  # the texts' side of the outermost join is the only one that reads the text for itself
     assert windows and not any("question" in part for part in below[2:] if "Window [" in part)
+
+
+def test_jaccard_edges_with_few_known_frequencies(spark, monkeypatch):
+    """Frequencies of a part of the tokens order the prefixes as well; postings don't carry prefixes."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{min(draw.randrange(40), draw.randrange(40))}" for _ in range(60)) for _ in range(40)]
+    texts += [" ".join(f"u{k}{j}" for j in range(200)) for k in range(3)]
+    texts += [t + extra for t in texts for extra in (" one", " two more")] + ["", " "]
+    tokens = [set(t.split()) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if tokens[i] and tokens[j] and len(tokens[i] & tokens[j]) >= 0.9 * len(tokens[i] | tokens[j]) - 1e-12}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for known in (0, 5, 500_000):
+        monkeypatch.setattr(near_duplicates, "BROADCAST_TOKENS", known)
+        rows = near_duplicates.jaccard_edges(df, "id", "t").collect()
+        assert {(r["id_a"], r["id_b"]) for r in rows} == want and len(rows) == len(want) > 40
+    written = {}
+    keep = near_duplicates.materialise
+    monkeypatch.setattr(near_duplicates, "materialise", lambda frame, name, **more: written.setdefault(name, keep(frame, name, **more)))
+    near_duplicates.jaccard_edges(df, "id", "t")
+    assert max(len(r["p"]) for r in written["token-postings"].collect()) <= near_duplicates.BEFORE
+    assert len(want) <= written["token-pairs"].count() < 2 * len(want)  # parities leave few pairs that aren't edges
