@@ -42,9 +42,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listed(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """df joined with a written table of 64-bit ids on key: sent to all executors if it is short, else over a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, how)
+def listed(df: DataFrame, ids: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined with a written table of 64-bit ids on key: sent to all executors if it has `most` rows at most, else over
+    a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else shuffled(ids), key, how)
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """A table that grows with the input, as a side of a join: by a shuffle, whatever Spark takes its size to be.  What it
+    would send to all executors passes through the driver, compressed sizes say little of its size there, and an operator
+    that joins in rounds has many at once."""
+    return table.hint("merge")
 
 
 def map_arrow(

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import carried, listed, map_arrow, materialise, read_table, text_groups
+from quillon.llm.common import carried, listed, map_arrow, materialise, read_table, shuffled, text_groups
 
 N, THRESHOLD = 5, 0.8
 ROWS, RECALL = 8, 0.9995
@@ -42,6 +42,8 @@ ROWS, RECALL = 8, 0.9995
 LEAST_CLASSES, PART_CLASSES, PART_GRAMS = 32, 256, 500_000
 SALTS = 32
 CACHE_WORDS = 200_000
+#: Rows of candidates or dropped documents that are sent to all executors; more are joined over a shuffle.
+SENT_ROWS = 50_000
 RESULT = ["class_id", "n_links", "n_text_links", "n_copies", "keep"]
 
 
@@ -137,10 +139,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = materialise(least, f"{name}-least")
         for _ in range(2):
             step = least.select(F.col("v").alias("m"), F.col("m").alias("m2"))
-            least = least.join(step, "m", "left").select("v", F.coalesce("m2", "m").alias("m"))
+            least = least.join(shuffled(step), "m", "left").select("v", F.coalesce("m2", "m").alias("m"))
         least = materialise(least, f"{name}-jump")
-        labels = materialise(labels.join(least, labels.label == least.v, "left").select("node", F.coalesce("m", "label").alias("label")), f"{name}-labels")
-        moved = edges.join(least.select(F.col("v").alias("a"), F.col("m").alias("x")), "a").join(least.select(F.col("v").alias("b"), F.col("m").alias("y")), "b")
+        labels = materialise(labels.join(shuffled(least), labels.label == least.v, "left").select("node", F.coalesce("m", "label").alias("label")), f"{name}-labels")
+        ends = [shuffled(least.select(F.col("v").alias(v), F.col("m").alias(m))) for v, m in (("a", "x"), ("b", "y"))]
+        moved = edges.join(ends[0], "a").join(ends[1], "b")
         edges = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
     return labels
 
@@ -211,13 +214,13 @@ def links_of(table: DataFrame, classes: DataFrame, n: int, bands: int, rows: int
     """cid, root, links, documents from every unit of every candidate component."""
     each = classes.select("cid", F.explode("bands").alias("h"))
     buckets = each.groupBy("h").agg(F.min("cid").alias("least"), F.count("*").alias("k")).where("k > 1").select("h", "least")
-    labels = components(each.join(buckets, "h").select(F.col("cid").alias("a"), F.col("least").alias("b")), "near-candidates")
-    members = labels.withColumnRenamed("node", "cid").join(classes.select("cid", "row_id", "copies", "grams"), "cid")
+    labels = components(each.join(shuffled(buckets), "h").select(F.col("cid").alias("a"), F.col("least").alias("b")), "near-candidates")
+    members = labels.withColumnRenamed("node", "cid").join(shuffled(classes.select("cid", "row_id", "copies", "grams")), "cid")
     each_part = F.least(F.lit(PART_CLASSES), F.greatest(F.lit(LEAST_CLASSES), F.sqrt(F.count("*"))))
     parts = F.ceil(F.greatest(F.count("*") / each_part, F.sum("grams") / PART_GRAMS)).cast("int")
     sizes = members.groupBy("label").agg(parts.alias("parts"))
-    members = materialise(members.drop("grams").join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "near-members")
-    texts = listed(table.select("row_id", "text"), members, "row_id")
+    members = materialise(members.drop("grams").join(shuffled(sizes), "label").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")), "near-members")
+    texts = listed(table.select("row_id", "text"), members, "row_id", most=SENT_ROWS)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = sketcher(n, bands, rows)
@@ -245,14 +248,14 @@ def classify(docs: DataFrame, carry: list[str], id_column: str, text: str, n: in
     classes = table.where("cls is not null").groupBy("cls").agg(F.min(last).alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("grams"))
     # The bands of a class are those of its first row: all its rows have the same.
     reps = classes.select("cls", "copies", "grams", F.col("rep.id").alias("id"), F.col("rep.none").alias("none"), F.col("rep.row_id").alias("row_id"))
-    classes = materialise(reps.join(table.select("row_id", "bands"), "row_id").withColumn("cid", F.col("row_id")), "near-classes")
+    classes = materialise(reps.join(shuffled(table.select("row_id", "bands")), "row_id").withColumn("cid", F.col("row_id")), "near-classes")
     units = materialise(links_of(table, classes, n, bands, ROWS, threshold), "near-links")
     labels = components(units.select(F.col("cid").alias("a"), F.col("root").alias("b")), "near-groups")
     counted = units.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
-    linked = classes.select("cls", "cid", "id", "none", "copies").join(counted, "cid", "left").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").where("copies > 1 or links > 0")
+    linked = classes.select("cls", "cid", "id", "none", "copies").join(shuffled(counted), "cid", "left").join(shuffled(labels.select(F.col("node").alias("cid"), "label")), "cid", "left").where("copies > 1 or links > 0")
     linked = materialise(linked.withColumn("label", F.coalesce("label", "cid")), "near-linked")
     first = linked.groupBy("label").agg(F.min(F.struct("none", "id", "cid")).alias("first"))
-    known = linked.join(first, "label").select(
+    known = linked.join(shuffled(first), "label").select(
         "cls",
         F.col("first.id").alias("least"),
         F.col("first.cid").alias("keeper"),
@@ -262,7 +265,7 @@ def classify(docs: DataFrame, carry: list[str], id_column: str, text: str, n: in
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     salted = table.select("row", "id", "row_id", "cls").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(known, ["cls", "salt"], "left")
+    joined = salted.join(shuffled(known), ["cls", "salt"], "left")
     return table, joined.select(
         "row_id",
         "row",
@@ -285,7 +288,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     whole = docs.withColumn("_all", F.struct(*(c for c in docs.columns if c != text)))
     table, result = classify(whole, ["_all"], id_column, text, n, threshold)
     gone = materialise(result.where("not keep").select("row_id"), "near-dropped")
-    return listed(table, gone, "row_id", "left_anti").select("row._all.*", F.col("text").alias(text)).select(*docs.columns)
+    return listed(table, gone, "row_id", "left_anti", SENT_ROWS).select("row._all.*", F.col("text").alias(text)).select(*docs.columns)
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -600,3 +600,12 @@ def test_secrets_are_masked(spark):
     assert rows[0]["text"] in (made[0], "password: token: [SECRET]") and rows[3]["text"] in (made[3], "[SECRET]")
     assert not any(brute_secrets(r["text"]) for r in rows.values())
     assert {r["other"] for r in rows.values()} == {"keep"}
+
+
+def test_ngram_join_sends_no_growing_table(spark):
+    """Tables that grow with the documents are joined over shuffles, however small they are here."""
+    from quillon.llm import ngram_join
+
+    docs = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}") for k in range(40)], "doc_id long, text string")
+    plan = ngram_join.near_duplicates(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
