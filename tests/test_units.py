@@ -961,3 +961,25 @@ def test_jaccard_edges_with_few_known_frequencies(spark, monkeypatch):
     near_duplicates.jaccard_edges(df, "id", "t")
     assert max(len(r["p"]) for r in written["token-postings"].collect()) <= near_duplicates.BEFORE
     assert len(want) <= written["token-pairs"].count() < 2 * len(want)  # parities leave few pairs that aren't edges
+
+
+def test_long_pairs_are_covered_only_by_pieces_near_their_places():
+    """No pair at the threshold is lost, whatever its edits; the same sentences in another order are told from a copy."""
+    from difflib import SequenceMatcher
+
+    draw, kept = random.Random(12), 0
+    for k in range(150):
+        x = "".join(chr(draw.choice((32, 101, 97, draw.randrange(200, 500)))) for _ in range(draw.randrange(200, 700)))
+        y = list(x)
+        for _ in range(draw.randrange(0, len(x) // 25)):
+            p = draw.randrange(len(y))
+            y[p : p + draw.randrange(3)] = draw.choice(["", "q", "zz", "e t"])
+        cut = draw.randrange(len(y) // 10)
+        y = "".join(y[cut:] + y[:cut] * (k % 2))
+        if SequenceMatcher(None, x, y).ratio() >= 0.9:
+            kept += 1
+            assert near_duplicates.covered(x, y, 0.9)
+    assert kept > 40
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(60)]
+    assert near_duplicates.covered(" ".join(words), " ".join(words), 0.9)
+    assert not near_duplicates.covered(" ".join(words), " ".join(words[30:] + words[:30]), 0.9)
