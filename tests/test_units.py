@@ -990,3 +990,51 @@ def test_control_scores_are_made_once(spark):
 
     plan = catalogue.random_null_thresholds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2 and "zip_with" not in plan and "Window" not in plan
+
+
+def test_long_ratio_is_the_matchers():
+    """The early-ending ratio of long texts equals SequenceMatcher's wherever that reaches the threshold, and is 0 elsewhere."""
+    from difflib import SequenceMatcher
+
+    draw, reached = random.Random(21), 0
+    syllables = ["the ", "tion", "re", "zz", "Q", "qq ", "and ", "an", ". The ", "xxx", "es "]
+    for k in range(120):
+        x = "".join(draw.choice([*syllables[: 4 + k % 8], chr(draw.randrange(200, 500))]) for _ in range(draw.randrange(110, 400)))
+        y = list(x)
+        for _ in range(draw.randrange(0, 1 + len(x) // 40)):
+            p = draw.randrange(len(y))
+            y[p : p + draw.randrange(4)] = draw.choice(["", "q", "zz", "zzz", "xQ"])
+        x, y = x + "z" * 200, "".join(y) + "z" * draw.randrange(190, 210)
+        for threshold in (0.2, 0.5, 0.9):
+            ratio = SequenceMatcher(None, x, y).ratio()
+            reached += ratio >= threshold
+            assert near_duplicates.long_ratio(x, y, threshold) == (ratio if ratio >= threshold else 0.0)
+    assert 60 < reached < 340
+
+
+def test_long_pairs_sieves_texts_of_one_language_and_loses_no_copy():
+    """Texts of one language share pieces of a few characters with all others, yet only near copies go on to the matcher."""
+    draw = random.Random(22)
+    syllables = ["".join(draw.choice("aeiounrstlh") for _ in range(draw.randrange(2, 5))) for _ in range(60)]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randrange(1, 4)))
+    texts = ["".join(draw.choice([" ", " ", " ", ", ", ". Z", " | "]) + word() for _ in range(draw.randrange(180, 200))) for _ in range(60)]
+    texts += [t[:-60] + "q" + t[-55:] for t in texts[:10]]
+    texts.sort(key=len)
+    side = (np.array([len(t) for t in texts]), np.array([near_duplicates.coded(t)[1] for t in texts]), texts)
+    p, q = near_duplicates.long_pairs(side, side, 16_384, 0.9)
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i != j and near_duplicates.long_ratio(x, y, 0.9)}
+    met = {(i, j) for i, j in zip(p.tolist(), q.tolist()) if i != j}
+    assert len(want) >= 10 and want <= met and len(met) < 60
+
+
+def test_blocks_of_long_texts_meet_each_pair_once(spark, monkeypatch):
+    """Bands cut into many blocks: every pair that one block alone finds, once."""
+    draw = random.Random(23)
+    base = ["".join(draw.choice("abcdefgh .") for _ in range(draw.randrange(200, 420))) for _ in range(14)]
+    texts = [b[:k] + "x" * k + b[k:] for b in base for k in (0, 1, 5, 12)]
+    df = spark.createDataFrame([(str(i), t, len(t)) for i, t in enumerate(texts)], "id string, t string, n int")
+    found = lambda: sorted(tuple(r) for r in near_duplicates.long_candidates(df, 0.9).collect())
+    whole = found()
+    monkeypatch.setattr(near_duplicates, "BLOCK_BITS", 1)
+    assert found() == whole and len(set(whole)) == len(whole) >= 84
+    assert near_duplicates.long_candidates(df.limit(0), 0.9).count() == 0
